@@ -69,3 +69,8 @@ def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Calla
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), *made.values()], [*keep, *made])
 
     return wanted.mapInArrow(run, schema)
+
+
+def beside(df: DataFrame, facts: DataFrame, key: str, how: str = "inner", rows: int = 1_000_000) -> DataFrame:
+    """``df`` joined with a narrow written table: broadcast if that has at most ``rows`` rows, by an exchange beyond."""
+    return df.join(F.broadcast(facts) if facts.count() <= rows else facts, key, how)
