@@ -1,7 +1,7 @@
 """Quality classifier: ordinal regression on graded ratings.
 
 A cumulative-link (proportional odds) model: P(grade <= j) = sigmoid(threshold[j] - score), with one weight for each hashed
-feature of the text, shared by all grades, and ordered thresholds. The features are the words that occur and buckets of
+feature of the text, shared by all grades, and ordered thresholds. The features are the words that occur, their beginnings, and buckets of
 the shares that the quality rules measure. Expected grade and tail probabilities follow for each document.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,16 @@ SHAPES = (len(RULES) + 1) * BUCKETS
 
 @dataclass(frozen=True)
 class ClassifierParams:
-    bits: int = 17  # words are hashed to 2^bits weights
+    bits: int = 18  # words and their beginnings are hashed to 2^bits weights
+    prefixes: tuple[int, ...] = (4, 5)  # bytes of a beginning
     train_docs: int = 8000  # the model is fitted on about so many labelled documents, chosen by a hash of their id
     rounds: int = 300
-    rate: float = 0.05
+    rate: float = 0.1
     l2: float = 1e-4
-    least_docs: int = 4  # a word counts from so many training documents on
+    least_docs: int = 4  # a feature counts from so many training documents on,
+    least_strength: float = 4.0  # and if its documents' grades are so many standard errors away from the rest
     tail: int = 2  # the tail probability is P(grade >= tail)
-    select_at: float = 0.5  # documents below it are rejected
+    select_at: float = 0.7  # documents below it are rejected
     seed: int = 7
 
 
@@ -58,17 +61,23 @@ class Features:
     """Features of texts, as places in the weights; a worker keeps the places of words it has met."""
 
     def __init__(self, params: ClassifierParams):
-        self.classes, self.size, self.met = byte_classes(), 1 << params.bits, {}
+        self.classes, self.size, self.prefixes, self.met = byte_classes(), 1 << params.bits, params.prefixes, {}
 
     def __call__(self, raw: bytes | None) -> np.ndarray:
         raw = raw or b""
         words = set(raw.lower().split())
         if new := words.difference(self.met):
-            if len(self.met) > 300_000:
+            if len(self.met) > 200_000:
                 self.met.clear()
                 new = words
-            self.met.update((w, SHAPES + zlib.crc32(w.strip(STRIP)) % (self.size - SHAPES)) for w in new)
-        return np.array([*shape_features(raw, self.classes), *set(map(self.met.__getitem__, words))], np.int32)
+            self.met.update((w, self.places(w.strip(STRIP))) for w in new)
+        return np.array([*shape_features(raw, self.classes), *set(chain.from_iterable(map(self.met.__getitem__, words)))], np.int32)
+
+    def places(self, word: bytes) -> tuple[int, ...]:
+        """Of the word and of its beginnings, in bytes."""
+        room = self.size - SHAPES
+        starts = [zlib.crc32(word[:n], n) for n in self.prefixes if len(word) > n]
+        return tuple(SHAPES + code % room for code in (zlib.crc32(word), *starts))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -79,13 +88,17 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, params:
     """Maximum likelihood by Adam with weight decay, full batches, so that reruns agree. ``grades`` are 0 to levels - 1."""
     size = 1 << params.bits
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     docs_of = np.bincount(flat, minlength=size)
-    used = (docs_of >= params.least_docs) & (docs_of < max(len(rows), 1) + 1)
+    share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / max(1, len(grades)), 1e-3, 1 - 1e-3)
+    edges = np.concatenate([[0.0], share, [1.0]])
+    pull = (np.diff(edges * (1 - edges)) / np.maximum(np.diff(edges), 1e-9))[grades]  # of each document on the score, as if no feature counted
+    strength = np.abs(np.bincount(flat, pull[owner], size)) / np.sqrt(np.maximum(docs_of, 1) * max(float(pull.var()), 1e-9))
+    used = (docs_of >= params.least_docs) & (strength >= params.least_strength)
     flat, owner = flat[used[flat]], owner[used[flat]]
     places, compact = np.unique(flat, return_inverse=True)
+    compact = compact.astype(np.int32)
     w = np.zeros(len(places))
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / max(1, len(grades)), 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
     state = np.concatenate([w, cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
     first, second = np.zeros_like(state), np.zeros_like(state)
