@@ -88,7 +88,10 @@ def unix_newlines(c: Column) -> Column:
 def percent_decoded(c: Column) -> Column:
     """Strictly decoded, ``+`` untouched; null where the escapes are no valid UTF-8."""
     broken = c.rlike("%(?![0-9A-Fa-f]{2})")
-    return F.when(~broken, F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))))
+    plain = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # the decoder puts a replacement character for bytes that are no UTF-8
+    replaced = F.contains(plain, F.lit("\ufffd")) & ~F.contains(c, F.lit("\ufffd")) & ~F.contains(F.upper(c), F.lit("%EF%BF%BD"))
+    return F.when(~broken & ~replaced, plain)
 
 
 def classified(raw: Column, is_url: Column) -> Column:

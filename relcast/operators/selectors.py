@@ -31,25 +31,26 @@ class Selector:
 
 
 NAME = r"[A-Za-z_][A-Za-z0-9_-]*"
-PREDICATE = re.compile(rf"\s*({NAME})\s*=\s*'([^']*)'\s*(,|\Z)")
+PREDICATE = re.compile(rf"""\s*({NAME})\s*=\s*(?:'([^']*)'|"([^"]*)")\s*(,|\Z)""")
+QUOTED = re.compile(r"""'[^']*'|"[^"]*\"""")
 
 
 def parse(text: str) -> Selector:
     text = text.strip()
     if not text:
         raise SelectorError("Empty")
-    if re.search(r"\[\s*[0-9]+\s*\]", re.sub(r"'[^']*'", "''", text)):
+    if re.search(r"\[\s*[0-9]+\s*\]", QUOTED.sub("''", text)):
         raise SelectorError("ArrayIndexNotAllowed")
-    m = re.fullmatch(rf"({NAME})(?:\[(.*)\])?", text, re.DOTALL)
-    if not m:
+    m = re.fullmatch(rf"({NAME})\s*\[(.*)\]", text, re.DOTALL)
+    if not m or not m[2].strip():
         raise SelectorError("InvalidPredicate")
     found: dict[str, str] = {}
     inner, at = m[2], 0
-    while inner is not None and at < len(inner) or (inner == "" and at == 0):
+    while at < len(inner):
         p = PREDICATE.match(inner, at)
-        if not p or p[1] in found or (p[3] == "," and p.end() == len(inner)):
+        if not p or p[1] in found or (p[4] == "," and not inner[p.end() :].strip()):
             raise SelectorError("InvalidPredicate")
-        found[p[1]], at = p[2], p.end()
+        found[p[1]], at = p[2] if p[2] is not None else p[3], p.end()
     return Selector(m[1], tuple(found.items()))
 
 
