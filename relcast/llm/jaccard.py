@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, per_text, texts
-from .components import components
+from .components import Forest, components
 from .signature_tree import TreeJoin
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -128,9 +128,9 @@ def part_keys(sets: list[np.ndarray], ids: np.ndarray, classes: SizeClasses) ->
 
 
 def thinned(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, with its least id; ids that had a key in common get a key of their own with that least id.
+    """Each key once, with its least id; ids that had a key in common get a key of their own with their least id.
 
-    So a key that a third of the rows have leaves a batch as one row.
+    So a key that a third of the rows have leaves a batch as one row. Common keys of a batch are joined to stars first.
     """
     if not len(keys):
         return keys, ids
@@ -139,7 +139,10 @@ def thinned(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     on = ~new & (ids != least)
-    pairs = np.unique(np.stack([ids[on], least[on]], 1), axis=0)
+    forest = Forest()
+    for a, b in np.unique(np.stack([ids[on], least[on]], 1), axis=0).tolist():
+        forest.join(a, b)
+    pairs = np.array(forest.stars(), np.int64).reshape(-1, 2)
     link = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) * np.uint64(BASE))
     return np.concatenate([keys[new], link, link]), np.concatenate([ids[new], pairs[:, 0], pairs[:, 1]])
 
@@ -173,7 +176,7 @@ def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
 
     keys = docs.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
     least = keys.withColumn("b", F.min("id").over(Window.partitionBy("key")))
-    return least.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return least.where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def chunked(members: DataFrame, params: JaccardParams) -> DataFrame:
@@ -217,7 +220,10 @@ def tree_links(rows: DataFrame, keys: list[str], over: int) -> DataFrame:
                 join.across(join.tree(sides[0]), join.tree(sides[1]))
         else:
             join.within(join.tree(list(range(len(held)))))
-        return [(held[i][0], held[j][0]) for i, j in join.links]
+        forest = Forest()
+        for i, j in join.links:
+            forest.join(held[i][0], held[j][0])
+        return forest.stars()
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], []
@@ -279,9 +285,9 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
         links = cut(links.unionByName(tree_links(filled, ["grp", "i", "j"], params.over)))
         labels = components(links)
     # links between rows of one id with different texts go through the id
-    same = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    twice = same.groupBy("a").agg(F.count_distinct("b").alias("k")).where("k > 1")
+    twice = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
     if not twice.isEmpty():
+        same = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         labels = components(links.unionByName(same))
         reps = labels.withColumnRenamed("id", "of")
         full = sized.join(reps, sized["id"] == reps["of"], "left")
