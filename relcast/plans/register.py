@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import udfs
-from ..operators import cards, identity, media, normalize, observe, release, risk, selectors
+from ..operators import cards, identity, media, normalize, observe, release, risk, selectors, validate
+from ..sources import store
 from . import frames
 from .frames import table
 
@@ -765,3 +766,90 @@ def mask_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("p_size") % 2 == 0, "hide_one_guess_one").otherwise("hide_all_guess_one")
     rect = F.struct(F.col("p_size").alias("x"), F.lit(2).alias("y"), F.lit(10).alias("width"), F.lit(5).alias("height"))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), tx.mask_markup(mode, F.array(rect)).alias("markup"))
+
+
+# --- validation ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'BlankStableId' AS code, 'error' AS level, 'p' || (p_partkey % 1500) AS subject FROM part WHERE p_partkey % 8 = 0
+    UNION ALL SELECT 'MissingStableId', 'warning', 'p' || (p_partkey % 1500) FROM part WHERE p_partkey % 8 = 1 AND p_partkey % 2 = 1
+    UNION ALL SELECT 'StableIdDuplicate', 'error', id FROM (SELECT 'p' || (p_partkey % 1500) AS id, row_number() OVER (PARTITION BY p_partkey % 1500) AS n FROM part) WHERE n > 1
+    UNION ALL SELECT 'NoteLevelIdentityOverrideUsed', 'warning', 'p' || (p_partkey % 1500) FROM part WHERE p_partkey % 10 = 0
+    UNION ALL SELECT 'UnknownMediaRef', 'error', 'p' || (p_partkey % 1500) FROM part WHERE p_partkey % 3 = 0 AND p_size > 30
+    UNION ALL SELECT 'EmptyIoMasks', 'error', 'p' || (p_partkey % 1500) FROM part WHERE p_partkey % 3 = 0 AND p_size % 5 = 0"""
+)
+def deck_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    explicit = F.when(key % 8 == 0, " ").when(key % 8 != 1, F.concat(F.lit("x"), key))
+    notes = part.select(F.concat(F.lit("p"), key % 1500).alias("id"), F.when(key % 3 == 0, "image_occlusion").otherwise("basic").alias("kind"), explicit.alias("explicit_id"), (key % 2 == 1).alias("generated"), (key % 10 == 0).alias("used_override"), F.concat(F.lit("size"), "p_size").alias("image"), (F.col("p_size") % 5).alias("masks"))
+    return validate.deck_issues(notes, part.where("p_size <= 30").select(F.concat(F.lit("size"), "p_size").alias("name")))
+
+
+@query(
+    """SELECT 'AFID.STABLE_ID_BLANK' AS code, 'error' AS level, 'doc:' || doc_id AS subject FROM documents WHERE doc_id % 9 = 0
+    UNION ALL SELECT 'AFID.STABLE_ID_DUPLICATE', 'error', s FROM (SELECT sha1(text) AS s, row_number() OVER (PARTITION BY text) AS n FROM documents WHERE doc_id % 9 <> 0) WHERE n > 1
+    UNION ALL SELECT 'PROJECT.UNSUPPORTED_NOTE_TYPE', 'error', 'doc:' || doc_id FROM documents WHERE lang = 'es'
+    UNION ALL SELECT 'NOTETYPE.ID_DUPLICATE', 'error', 'de' UNION ALL SELECT 'NOTETYPE.IDENTITY_RECIPE_MISSING', 'warning', 'fr' UNION ALL SELECT 'NOTETYPE.FIELD_KEY_AUTO_DERIVED', 'warning', 'de.front'"""
+)
+def project_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").select(frames.doc_id().alias("id"), F.when(F.col("lang") == "en", "basic").otherwise(F.col("lang")).alias("notetype_id"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.sha1("text")).alias("stable_id"))
+    types = spark.createDataFrame([("de", True), ("de", True), ("fr", False)], "id string, has_identity boolean")
+    return validate.project_issues(notes, types, spark.createDataFrame([("de", "front", True), ("de", "back", False)], "notetype_id string, key string, auto_key boolean"))
+
+
+@query(
+    """SELECT 'part:' || p_partkey AS subject, unnest(CASE p_partkey % 8 WHEN 0 THEN ['PRODUCT.CLOZE_FIELD_UNEXPECTED', 'TEMPLATE.CLOZE_RULE_REQUIRES_CLOZE_NOTETYPE'] WHEN 1 THEN ['PRODUCT.CLOZE_FIELD_REQUIRED'] WHEN 2 THEN ['PRODUCT.CLOZE_FIELD_UNKNOWN']
+      WHEN 3 THEN ['PRODUCT.CLOZE_TEMPLATE_COUNT_INVALID', 'PRODUCT.CLOZE_FIELD_MISMATCH'] WHEN 4 THEN ['PRODUCT.CLOZE_FILTER_REQUIRED'] WHEN 5 THEN ['PRODUCT.NOTE_TYPE_KIND_UNSUPPORTED'] ELSE [] END) AS code FROM part"""
+)
+def custom_cloze_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("p_partkey") % 8
+    kind = F.when(case.isin(0, 7), "normal").when(case == 5, "odd").otherwise("cloze")
+    field = F.when(case == 2, "Nope").when(~case.isin(1, 7), "Text")
+    fronts = F.when(case == 3, F.array(F.lit("{{cloze:Text}}"), F.lit("{{cloze:Extra}}"))).when(case == 4, F.array(F.lit("{{Text}}"))).otherwise(F.array(F.lit("{{hint:cloze:Text}}")))
+    rules = F.when(case == 0, F.array(F.lit("cloze"))).otherwise(F.array(F.lit("all")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), kind.alias("kind"), field.alias("cloze_field"), F.array(F.lit("Text"), F.lit("Extra")).alias("field_names"), fronts.alias("fronts"), rules.alias("rule_kinds"))
+    return validate.custom_type_issues(rows)
+
+
+CTES["panel"] = """SELECT 'part:' || p_partkey AS id, p_partkey % 3 AS c, '{{#Back Extra}}<div class="af-back-extra-panel"><h3>' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'More' END || '</h3>{{Back Extra}}</div>{{/Back Extra}}' AS p FROM part"""
+
+
+@query("SELECT id, CASE c WHEN 0 THEN 'a ' || p || ' b' WHEN 1 THEN p || ' {{Back Extra}}' ELSE 'plain' || chr(10) || p END AS answer, CASE c WHEN 0 THEN 'PHASE5A.HELPER_SCOPE_INVALID' END AS issue FROM panel", ("panel",))
+def helper_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("p_partkey") % 3
+    answer = F.when(case == 0, "a {{#Back Extra}}<div>{{Back Extra}}</div>{{/Back Extra}} b").when(case == 1, "{{Back Extra}} {{Back Extra}}").otherwise("plain")
+    made = validate.back_extra_panel(answer, F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")))
+    kind = F.when(case == 0, "basic").otherwise("cloze")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), made.alias("answer"), validate.helper_issue(kind, F.lit("back_extra_panel")).alias("issue"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"identity\":{\"id\":' || user_id || '}}' WHEN 1 THEN '{\"a\":1,\"identity\":{\"id\":' || user_id || '},\"k\":\"v\"}' END AS data FROM events")
+def note_data_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("event_id") % 3
+    existing = F.when(case == 0, " ").when(case == 1, '{"k": "v", "identity": 5, "a": 1}').otherwise("[1]")
+    return table(spark, sf_dir, "events").select("event_id", validate.merged_note_data(existing, "identity", F.concat(F.lit('{"id":'), "user_id", F.lit("}"))).alias("data"))
+
+
+@query(
+    """SELECT source, CASE WHEN source IN ('src1', 'src2') THEN 'missing' WHEN source IN ('src3', 'src4') THEN 'degraded' ELSE 'full' END AS evidence,
+    CASE WHEN source IN ('src1', 'src2') THEN 'unavailable' WHEN source IN ('src3', 'src4') THEN 'partial' ELSE 'complete' END AS status FROM (SELECT DISTINCT source FROM documents)"""
+)
+def comparison_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", F.explode(F.array(F.lit("metadata"), F.lit("references"), F.lit("templates"))).alias("domain"))
+    bare = ((F.col("domain") == "metadata") & F.col("source").isin("src1", "src2")) | ((F.col("domain") == "templates") & (F.col("source") == "src3"))
+    payload = F.when(bare, "{}").when(F.col("domain") == "metadata", '{"card_count":3}').otherwise('{"ord":0}')
+    selector = F.when((F.col("domain") == "references") & (F.col("source") != "src4"), "card[note_id='a'][ord=0]").otherwise("x")
+    found = validate.card_evidence(rows.select("source", "domain", payload.alias("payload"), selector.alias("selector")), "source")
+    return found.select("source", "evidence", validate.product_comparison_status(F.lit("complete"), F.lit(False), F.lit(0), F.lit("full"), F.col("evidence")).alias("status"))
+
+
+@query("SELECT code, code || ': ' || n || ' (' || s || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END || ')' AS line FROM (SELECT code, count(*) AS n, array_to_string(list_slice(list(source ORDER BY ord), 1, 3), ', ') AS s FROM diag GROUP BY code)", ("diag",))
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.report_lines(normalize.samples(frames.diagnostics(table(spark, sf_dir, "events"))))
+
+
+@query("SELECT sha256(text) AS digest, sha1(text) AS sha1, strlen(text)::BIGINT AS size, 'objects/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) AS path FROM documents GROUP BY text")
+def media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(frames.doc_id().alias("path"), F.encode("text", "utf-8").alias("content"))
+    return store.objects(files).select("digest", "sha1", "size", "path")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relcast.operators import cards, media, normalize, release, risk
-from relcast.sources import entities, package
+from relcast.sources import entities, package, store
 
 OBSERVATION = "domain string, selector string, payload string, evidence array<string>, ord bigint"
 INDEX = "normalized_note_id string, stable_id string, candidate string"
@@ -172,3 +172,27 @@ def test_fold_of_releases(spark, tmp_path):
         fold_releases(stream).writeStream.format("parquet").option("path", str(sink)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     rows = {(r.stable_id, r.releases): (r.guid, r.source) for r in spark.read.parquet(str(sink)).collect()}
     assert rows == {("s1", 1): ("c1", "current_derivation"), ("s1", 2): ("c1", "lockfile"), ("s2", 1): ("d", "current_derivation")}
+
+
+def test_store_takes_each_content_once(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    files = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("c", b"22")], "path string, content binary")
+    for _ in range(2):
+        store.add_objects(files, folder)
+    store.add_objects(spark.createDataFrame([("d", b"333")], "path string, content binary"), folder)
+    assert sorted(r.size for r in spark.read.parquet(folder).collect()) == [1, 2, 3]
+    assert store.verified(spark.read.parquet(folder)).count() == 0
+
+
+def test_bundles_stay_inside_their_folder(spark, tmp_path):
+    root = tmp_path / "bundle"
+    root.mkdir()
+    (root / "front.html").write_text("{{Front}}")
+    manifest = '{"note_type": {"id": "t", "templates": [{"key": "k", "front_file": "%s"}]}}'
+    (root / "anki-template.yaml").write_text(manifest % "front.html")
+    assert {r.name: r.text for r in store.read_bundle(spark, str(root)).collect()}["front.html"] == "{{Front}}"
+    (tmp_path / "secret.html").write_text("x")
+    for name in ("../secret.html", "missing.html", str(tmp_path / "secret.html")):
+        (root / "anki-template.yaml").write_text(manifest % name)
+        with pytest.raises(ValueError, match="bundle"):
+            store.read_bundle(spark, str(root))
