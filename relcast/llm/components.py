@@ -53,15 +53,21 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = 400_000) -> DataFrame:
     """(id, label): for each node of ``edges`` (a, b) the least node that can be reached from it.
 
-    Edges are contracted within partitions first. Every round gives each node the least label of its neighbours and then the label of its label, so chains
-    shrink by half at least. Labels only fall; the loop ends when their sum stays. Both sides of each join are
-    written tables, so that adaptive execution can split the node that a third of the edges meet.
+    Edges are contracted where they lie, and what is left again in as few tasks as hold ``task_edges`` each. If that is
+    one, its stars are the answer. If more, every round gives each node the least label of its neighbours and then the
+    label of its label, so chains shrink by half at least. Labels only fall; the loop ends when their sum stays. Both
+    sides of each join are written tables, so that adaptive execution can split the node that a third of the edges meet.
     """
-    pairs = cut(contracted(edges.where("a <> b")).distinct())
-    pairs = cut(pairs.select("a", "b").union(pairs.select("b", "a")))
+    pairs = cut(contracted(edges.where("a <> b")))
+    tasks = max(1, -(-pairs.count() // task_edges))
+    pairs = cut(contracted(pairs.coalesce(tasks)))
+    if tasks == 1:
+        roots = pairs.where("a <> b").select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
+        return cut(pairs.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(roots))
+    pairs = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = cut(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")))
     total = None
     while True:

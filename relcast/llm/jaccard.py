@@ -4,8 +4,8 @@ Trees need neighbourhoods of bounded size, and these lose no link: a pair of sim
 D = (a + b) (100 - over) / (100 + over) tokens, so if tokens are dealt to D + 1 parts by a hash, one part is equal in both.
 Sizes fall into classes so that similar sets are in the same class or in neighbouring ones; a document gives the hash of
 each part for its own class and, if it can have larger partners, for the next. Documents with a common hash are candidates; candidate
-groups are cut into chunks by size, a signature tree joins each chunk, and trees of two chunks of a group are traversed
-together wherever the group isn't one component yet.
+groups are cut into chunks, a signature tree joins each chunk, and trees of two chunks, or of the sets that share a key, are
+traversed wherever the group isn't one component yet.
 """
 
 from __future__ import annotations
@@ -91,21 +91,32 @@ def shingle_sets(batch: list[bytes | None], size: int, powers: Powers) -> list[n
 
 
 class SizeClasses:
-    """Classes of sizes [low, high]: two similar sets are in one class or in neighbouring ones."""
+    """Classes of sizes [low, high]: two similar sets are in one class or in neighbouring ones.
 
-    def __init__(self, over: int):
+    ``parts`` is how many parts a class deals tokens to: D + 1, by which one part is equal in both sets, and ``spare``
+    more, by which 1 + spare parts are equal.
+    """
+
+    def __init__(self, over: int, more: float = 0.35):
         low = [1]
         while low[-1] < 1 << 40:
             low.append(100 * low[-1] // over + 1)
         self.low, self.over = np.array(low, np.int64), over
-        self.parts = 2 * (self.low[1:] - 1) * (100 - over) // (100 + over) + 1
+        needed = 2 * (self.low[1:] - 1) * (100 - over) // (100 + over) + 1
+        self.spare = np.where(needed > 1, np.ceil(needed * more), 0).astype(np.int64)
+        self.parts = needed + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
 def part_keys(sets: list[np.ndarray], ids: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id) of every part of the sets, for their own class and the next."""
+    """(key, id) of the larger parts of the sets, for their own class and the next.
+
+    A set leaves out its parts of fewer than q tokens, with the greatest q for which these are at most ``spare``: empty and
+    tiny parts, which sets have in common by chance. No pair is lost: of the 1 + spare parts that are equal in both, one
+    has at least the greater of the two q.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     own, keys, owners = classes.of(np.maximum(sizes, 1)), [], []
     for up in (0, 1):
@@ -120,10 +131,15 @@ def part_keys(sets: list[np.ndarray], ids: np.ndarray, classes: SizeClasses) ->
         value, total = mix(flat + np.uint64(2)), int(parts.sum())
         # sums of 32-bit halves are exact in floats
         sums = [np.bincount(place, (half & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64) for half in (value, value >> np.uint64(32))]
-        of = np.repeat(np.arange(len(on)), parts)
+        counts, of = np.bincount(place, minlength=total), np.repeat(np.arange(len(on)), parts)
         spot = (np.arange(total) - base[of]).astype(np.uint64) + (cls[on][of].astype(np.uint64) << np.uint64(40))
-        keys.append(mix((sums[0] + (sums[1] << np.uint64(32))) ^ mix(spot + np.uint64(3))))
-        owners.append(ids[on][of])
+        made = mix((sums[0] + (sums[1] << np.uint64(32))) ^ mix(spot + np.uint64(3)))
+        # the count at place ``spare`` in ascending order is the greatest q
+        ascending = np.sort(of * (int(counts.max()) + 1) + counts) % (int(counts.max()) + 1)
+        least = ascending[base + np.minimum(classes.spare[cls[on]], parts - 1)]
+        kept = counts >= least[of]
+        keys.append(made[kept])
+        owners.append(ids[on][of[kept]])
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -148,7 +164,7 @@ def thinned(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, f1, f2): size and a 128-bit fingerprint of each document's set."""
+    """(id, n, m, f1, f2): size, least token and a 128-bit fingerprint of each document's set."""
 
     def make():
         powers = Powers()
@@ -156,11 +172,11 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
         def work(batch):
             sets = shingle_sets(batch, size, powers)
             prints = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            return {"n": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(prints[:, 0].copy()), "f2": pa.array(prints[:, 1].copy())}
+            return {"n": pa.array([len(s) for s in sets], pa.int64()), "m": pa.array(np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)), "f1": pa.array(prints[:, 0].copy()), "f2": pa.array(prints[:, 1].copy())}
 
         return work
 
-    return per_text(docs, ["id"], "text", "n bigint, f1 bigint, f2 bigint", make)
+    return per_text(docs, ["id"], "text", "n bigint, m bigint, f1 bigint, f2 bigint", make)
 
 
 def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
@@ -182,14 +198,15 @@ def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
 def chunked(members: DataFrame, params: JaccardParams) -> DataFrame:
     """(id, grp, n, chunk, many): candidate sets by group, and their chunk; ``many`` if the group has more than one.
 
-    ``members`` has id, grp and n, and only groups of two sets or more. Chunks of a large group have similar sizes.
+    ``members`` has id, grp, n and m, and only groups of two sets or more. A large group is dealt by the least token, which
+    similar sets mostly share, and where too many share it by the id.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) * 50).cast("bigint")
-    sized = cut(members.withColumn("band", band))
-    groups = sized.groupBy("grp").agg(F.count("*").alias("g"))
-    bands = cut(sized.groupBy("grp", "band").agg(F.count("*").alias("k")).join(groups, "grp"))
-    sub = F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / params.chunk))
-    return sized.join(bands, ["grp", "band"]).select("id", "grp", "n", F.when(F.col("g") <= params.chunk, 0).otherwise(F.col("band") * (1 << 32) + sub + 1).alias("chunk"), (F.col("g") > params.chunk).alias("many"))
+    sized, pieces = cut(members), lambda c: F.ceil(F.col(c) / params.chunk)
+    groups = cut(sized.groupBy("grp").agg(F.count("*").alias("g")))
+    dealt = cut(sized.join(groups, "grp").withColumn("bucket", F.pmod("m", pieces("g"))))
+    buckets = cut(dealt.groupBy("grp", "bucket").agg(F.count("*").alias("k")))
+    chunk = F.when(F.col("g") <= params.chunk, 0).otherwise(F.col("bucket") * (1 << 32) + F.pmod(F.xxhash64("id"), pieces("k")) + 1)
+    return dealt.join(buckets, ["grp", "bucket"]).select("id", "grp", "n", chunk.alias("chunk"), (F.col("g") > params.chunk).alias("many"))
 
 
 def with_sets(docs: DataFrame, rows: DataFrame, count: int, params: JaccardParams) -> DataFrame:
@@ -204,9 +221,10 @@ def with_sets(docs: DataFrame, rows: DataFrame, count: int, params: JaccardParam
 
 
 def tree_links(rows: DataFrame, keys: list[str], over: int) -> DataFrame:
-    """(a, b): links that join the rows of each group of ``keys``, by a signature tree or, if ``side`` is there, by two.
+    """(a, b): links that join the rows of each group of ``keys`` by signature trees.
 
-    ``rows`` has the keys, id, tokens and perhaps side and label. A task meets its groups one after the other.
+    ``rows`` has the keys, id and tokens. If it has side and label too, labels are known components, sides 0 and 1 of a group
+    are two trees that are traversed together, and rows of side 2 are one tree. A task meets its groups one after the other.
     """
     crossed = "side" in rows.columns
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -214,11 +232,10 @@ def tree_links(rows: DataFrame, keys: list[str], over: int) -> DataFrame:
     def joined(held: list[tuple]) -> list[tuple[int, int]]:
         held = list({row[0]: row for row in sorted(held, key=lambda row: row[0])}.values())
         join = TreeJoin([np.frombuffer(row[1], np.uint64) for row in held], over, [row[3] for row in held] if crossed else None)
-        if crossed:
-            sides = [[i for i, row in enumerate(held) if row[2] == side] for side in (0, 1)]
-            if all(sides):
-                join.across(join.tree(sides[0]), join.tree(sides[1]))
-        else:
+        sides = [[i for i, row in enumerate(held) if row[2] == side] for side in (0, 1)]
+        if all(sides):
+            join.across(join.tree(sides[0]), join.tree(sides[1]))
+        elif not any(sides):
             join.within(join.tree(list(range(len(held)))))
         forest = Forest()
         for i, j in join.links:
@@ -246,15 +263,57 @@ def tree_links(rows: DataFrame, keys: list[str], over: int) -> DataFrame:
 
 
 def crossing(chunks: DataFrame, labels: DataFrame, over: int) -> DataFrame:
-    """(grp, i, j): pairs of chunks whose sizes can agree and that aren't one component together."""
+    """(grp, i, j, rows): pairs of chunks whose sizes can agree and that aren't one component together."""
     known = chunks.where("many").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id"))
-    nodes = known.groupBy("grp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l"), F.max("label").alias("m"))
+    nodes = known.groupBy("grp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("k"))
     torn = nodes.groupBy("grp").agg(F.min("l").alias("least"), F.max("m").alias("most")).where("least <> most").select("grp")
     nodes = cut(nodes.join(torn, "grp", "left_semi"))
-    left, right = (nodes.select("grp", *[F.col(c).alias(f"{c}_{side}") for c in ("chunk", "low", "high", "l", "m")]) for side in "ij")
+    left, right = (nodes.select("grp", *[F.col(c).alias(f"{c}_{side}") for c in ("chunk", "low", "high", "l", "m", "k")]) for side in "ij")
     fits = (F.col("high_i") * 100 >= F.col("low_j") * over) & (F.col("high_j") * 100 >= F.col("low_i") * over)
     apart = ~((F.col("l_i") == F.col("m_i")) & (F.col("l_j") == F.col("m_j")) & (F.col("l_i") == F.col("l_j")))
-    return left.join(right, "grp").where((F.col("chunk_i") < F.col("chunk_j")) & fits & apart).select("grp", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"))
+    return left.join(right, "grp").where((F.col("chunk_i") < F.col("chunk_j")) & fits & apart).select("grp", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), (F.col("k_i") + F.col("k_j")).alias("rows"))
+
+
+def keyed(docs: DataFrame, held: DataFrame, count: int, params: JaccardParams) -> DataFrame:
+    """(key, id, grp, label): the keys of the documents in ``held`` (id, grp, label)."""
+    classes, found = SizeClasses(params.over), docs.join(F.broadcast(held) if count <= params.broadcast_rows else held, "id")
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches(frames, "text"):
+            keys, rows = part_keys(shingle_sets(texts(batch, "text"), params.shingle, powers), np.arange(batch.num_rows), classes)
+            for k in range(0, len(keys), 100_000):
+                spot = pa.array(rows[k : k + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), *(batch.column(c).take(spot) for c in ("id", "grp", "label"))], ["key", "id", "grp", "label"])
+
+    return found.select("id", "grp", "label", "text").mapInArrow(run, "key bigint, id bigint, grp bigint, label bigint")
+
+
+def rest_links(docs: DataFrame, chunks: DataFrame, labels: DataFrame, pairs: DataFrame, count: int, params: JaccardParams) -> DataFrame:
+    """(a, b): links between chunks of a group.
+
+    Sets of different components can only be similar if they have a key in common. So either all pairs of chunks in
+    ``pairs`` are joined, or the sets of each key that more than one component has (of keys with the same sets, one): for
+    each group whichever sends fewer rows. The first is less for groups that are dense, the second for groups that hang
+    together by chance. The sets of a key that has too many for one tree are joined by pairs of chunks as well.
+    """
+    torn = chunks.join(pairs.select("grp").distinct(), "grp", "left_semi")
+    held = cut(torn.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "grp", "chunk", F.coalesce("label", "id").alias("label")))
+    keys = keyed(docs, held.select("id", "grp", "label"), count, params)
+    shared = keys.groupBy("key").agg(F.min("grp").alias("grp"), F.count("*").alias("k"), F.min("label").alias("l"), F.max("label").alias("m"), F.bit_xor(F.xxhash64("id")).alias("same"))
+    shared = cut(shared.where("l <> m").groupBy("grp", "k", "same").agg(F.min("key").alias("key")).withColumn("pieces", F.ceil(F.col("k") / params.chunk)))
+    by_pairs, by_keys = pairs.groupBy("grp").agg(F.sum("rows").alias("p")), shared.groupBy("grp").agg(F.sum(F.col("k") * F.col("pieces")).alias("q"))
+    chosen = cut(by_pairs.join(by_keys, "grp", "left").select("grp", (F.coalesce("q", F.lit(0)) < F.col("p")).alias("by_key")))
+    sets = with_sets(docs, held, count, params)
+    side = lambda chunk, n: F.struct(F.col(chunk).alias("chunk"), F.lit(n).alias("side"))
+    ends = pairs.join(chosen.where("NOT by_key"), "grp", "left_semi").select("grp", "i", "j", F.inline(F.array(side("i", 0), side("j", 1))))
+    first = sets.join(ends, ["grp", "chunk"]).select(F.lit(0).alias("kind"), "grp", "i", "j", "side", "id", "label", "tokens")
+    wanted = shared.join(chosen.where("by_key"), "grp", "left_semi").select("key", "pieces")
+    own = F.pmod(F.xxhash64("id"), F.col("pieces"))
+    met = keys.select("key", "id").join(wanted, "key").select("key", "id", own.alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("d"))
+    met = met.select("key", "id", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1).alias("side"))
+    second = sets.select("id", "label", "tokens").join(met, "id").select(F.lit(1).alias("kind"), F.col("key").alias("grp"), "i", "j", "side", "id", "label", "tokens")
+    return tree_links(first.unionByName(second), ["kind", "grp", "i", "j"], params.over)
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,9 +326,9 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sized = cut(summaries(plain, params.shingle))
     classes = cut(sized.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    members = cut(sized.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select("id", "n", "rep"))
+    members = cut(sized.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select("id", "n", "m", "rep"))
     groups = components(candidate_edges(plain, params)).select("id", F.col("label").alias("grp"))
-    sets = cut(members.where("id = rep").select("id", "n").distinct().join(groups, "id"))
+    sets = cut(members.where("id = rep").select("id", "n", "m").distinct().join(groups, "id"))
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     chunks = cut(chunked(sets.join(several, "grp", "left_semi"), params))
     count = chunks.count()
@@ -278,11 +337,7 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     labels = components(links)
     pairs = cut(crossing(chunks, labels, params.over))
     if not pairs.isEmpty():
-        held = chunks.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "grp", "chunk", F.coalesce("label", "id").alias("label"))
-        sides = pairs.select("grp", "i", "j", F.inline(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))))
-        torn = cut(held.join(pairs.select("grp").distinct(), "grp", "left_semi"))
-        filled = with_sets(plain, torn, count, params).join(sides, ["grp", "chunk"])
-        links = cut(links.unionByName(tree_links(filled, ["grp", "i", "j"], params.over)))
+        links = cut(links.unionByName(rest_links(plain, chunks, labels, pairs, count, params)))
         labels = components(links)
     # links between rows of one id with different texts go through the id
     twice = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
