@@ -29,6 +29,7 @@ class MixParams:
     block_words: int = 64
     shard_slots: int = 4096
     rounds: int = 24  # of the permutation
+    task_slots: int = 50_000  # slots that a task permutes
     seed: int = 20240607
     max_sources: int = 10_000  # the table of sources is held by the driver; more raise an error
 
@@ -104,7 +105,9 @@ def draw_slots(sources: DataFrame, params: MixParams) -> DataFrame:
     parts = parts.select("s", "part", (F.sum("all").over(Window.partitionBy("s").orderBy("part")) - F.col("all")).alias("start"))
     ids = F.array(*[F.lit(r["sidx"]) for r in held]) if held else F.array(F.lit(0))
     sizes = F.array(*[F.lit(n).cast("bigint") for n in blocks]) if held else F.array(F.lit(0).cast("bigint"))
-    numbered = counts.join(parts, ["s", "part"]).where("n > 0").select("shard", F.element_at(ids, F.col("s") + 1).alias("sidx"), F.element_at(sizes, F.col("s") + 1).alias("blocks"), F.explode(F.sequence(F.col("start") + F.col("within"), F.col("start") + F.col("within") + F.col("n") - 1)).alias("j"))
+    # few rows become many slots, so they are dealt out by the number of slots
+    runs = counts.join(parts, ["s", "part"]).where("n > 0").repartition(1 + slots // params.task_slots, "s", "shard")
+    numbered = runs.select("shard", F.element_at(ids, F.col("s") + 1).alias("sidx"), F.element_at(sizes, F.col("s") + 1).alias("blocks"), F.explode(F.sequence(F.col("start") + F.col("within"), F.col("start") + F.col("within") + F.col("n") - 1)).alias("j"))
     numbered = numbered.where(F.col("j") < params.max_epochs * F.col("blocks")).withColumn("epoch", F.floor(F.col("j") / F.col("blocks")).cast("bigint"))
     return numbered.select("shard", "sidx", "epoch", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.struct("sidx", "epoch"), params).alias("block"))
 
