@@ -61,7 +61,7 @@ def components(edges: DataFrame, task_edges: int = 400_000) -> DataFrame:
     label of its label, so chains shrink by half at least. Labels only fall; the loop ends when their sum stays. Both
     sides of each join are written tables, so that adaptive execution can split the node that a third of the edges meet.
     """
-    pairs = cut(contracted(edges.where("a <> b")))
+    pairs = cut(contracted(edges.where("a <> b").distinct()))
     tasks = max(1, -(-pairs.count() // task_edges))
     pairs = cut(contracted(pairs.coalesce(tasks)))
     if tasks == 1:

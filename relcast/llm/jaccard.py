@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, per_text, texts
+from .common import batches, cut, per_text, release, texts
 from .components import Forest, components
 from .signature_tree import TreeJoin
 
@@ -300,8 +300,11 @@ def rest_links(docs: DataFrame, chunks: DataFrame, labels: DataFrame, pairs: Dat
     torn = chunks.join(pairs.select("grp").distinct(), "grp", "left_semi")
     held = cut(torn.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "grp", "chunk", F.coalesce("label", "id").alias("label")))
     keys = keyed(docs, held.select("id", "grp", "label"), count, params)
-    shared = keys.groupBy("key").agg(F.min("grp").alias("grp"), F.count("*").alias("k"), F.min("label").alias("l"), F.max("label").alias("m"), F.bit_xor(F.xxhash64("id")).alias("same"))
-    shared = cut(shared.where("l <> m").groupBy("grp", "k", "same").agg(F.min("key").alias("key")).withColumn("pieces", F.ceil(F.col("k") / params.chunk)))
+    mixed = cut(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"))
+    keys = cut(keys.join(F.broadcast(mixed) if mixed.count() <= params.broadcast_rows else mixed, "key").select("key", "id", "grp"))
+    release(docs.sparkSession)
+    shared = keys.groupBy("key", "grp").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("same"))
+    shared = cut(shared.groupBy("grp", "k", "same").agg(F.min("key").alias("key")).withColumn("pieces", F.ceil(F.col("k") / params.chunk)))
     by_pairs, by_keys = pairs.groupBy("grp").agg(F.sum("rows").alias("p")), shared.groupBy("grp").agg(F.sum(F.col("k") * F.col("pieces")).alias("q"))
     chosen = cut(by_pairs.join(by_keys, "grp", "left").select("grp", (F.coalesce("q", F.lit(0)) < F.col("p")).alias("by_key")))
     sets = with_sets(docs, held, count, params)
@@ -328,12 +331,14 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     classes = cut(sized.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     members = cut(sized.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select("id", "n", "m", "rep"))
     groups = components(candidate_edges(plain, params)).select("id", F.col("label").alias("grp"))
+    release(docs.sparkSession)
     sets = cut(members.where("id = rep").select("id", "n", "m").distinct().join(groups, "id"))
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     chunks = cut(chunked(sets.join(several, "grp", "left_semi"), params))
     count = chunks.count()
     filled = with_sets(plain, chunks.select("id", "grp", "chunk", "many"), count, params)
     links = cut(tree_links(filled, ["grp", "chunk"], params.over))
+    release(docs.sparkSession)
     labels = components(links)
     pairs = cut(crossing(chunks, labels, params.over))
     if not pairs.isEmpty():
