@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relcast.llm import bpe, classifier, jaccard, mixing, secrets
 from relcast.llm.common import beside, cut, table
 
+#: Of the hashes that round a document's share (the mix has others), and parts of a source's documents of like size.
+ROUNDING_SEED, ROUNDING_PARTS = 20240611, 64
+
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ordinal classifier, fitted on the labelled documents among ``docs``; what it rejects goes."""
@@ -27,11 +30,30 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
+def rounded(taken: DataFrame) -> DataFrame:
+    """(__id, __times): t / s of each row of ``taken`` (__id with a source, t, s), rounded down or up without bias.
+
+    Over a source's documents by size, running sums of the rests of t / s are rounded from a start that is hashed, so a
+    document has one copy more with the chance of its rest, and the words of a source stay near the sum of t. Sums are
+    taken in parts: no source is summed in one task.
+    """
+    one, start = 1 << 32, F.col("start") + F.pmod(F.xxhash64(F.lit(ROUNDING_SEED), "skey"), F.lit(1 << 32))
+    rest = F.floor(F.col("t") % F.col("s") / F.col("s") * one).cast("bigint")
+    rows = taken.where("s > 0").withColumn("rest", rest).withColumn("skey", mixing.source_key(F.col("__id.source"))).withColumn("h", F.xxhash64(F.lit(ROUNDING_SEED), "__id"))
+    rows = rows.withColumn("class", F.floor(F.log2("s") * 4)).withColumn("part", F.pmod("h", F.lit(ROUNDING_PARTS)))
+    sums = rows.groupBy("skey", "class", "part").agg(F.sum("rest").alias("all"))
+    starts = sums.select("skey", "class", "part", (F.sum("all").over(Window.partitionBy("skey").orderBy("class", "part")) - F.col("all")).alias("start"))
+    order = Window.partitionBy("skey", "class", "part").orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("upto", F.sum("rest").over(order)).join(starts, ["skey", "class", "part"]).withColumn("upto", start + F.col("upto"))
+    more = F.shiftright("upto", 32) - F.shiftright(F.col("upto") - F.col("rest"), 32)
+    return placed.select("__id", (F.expr("t div s") + more).cast("int").alias("__times")).where("__times > 0")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded; one that it takes less than half of goes."""
-    taken = mixing.mix_documents(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = cut(taken.select("__id", F.when(F.col("s") > 0, F.round(F.col("t") / F.col("s"))).otherwise(0).cast("int").alias("__times")).where("__times > 0"))
-    found = beside(docs.withColumn("__id", F.col("doc_id")), times, "__id")
+    """Each document as often as the mix takes its words, rounded down or up so that a source's words meet its target."""
+    keyed = docs.withColumn("__id", F.struct("source", "doc_id"))
+    taken = cut(mixing.mix_documents(keyed, id_col="__id").groupBy("__id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")))
+    found = beside(keyed, cut(rounded(taken)), "__id")
     return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -491,5 +491,20 @@ def test_pipeline(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() == counts[-1]
 
 
+def test_mixed_sources_meet_their_targets(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(13)
+    made = docs(spark, [(i, "w " * random.choice([3, 40, 300, 700, 1100]), "en", "abc"[i % 3]) for i in range(1500)])
+    words = F.sum(F.size(F.split(F.trim("text"), " "))).alias("words")
+    target = {r.source: r.target for r in mixing.mix_documents(made).join(made.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    mixed = pipeline.mix_sources(spark, made, "").cache()
+    got = {r.source: r.words for r in mixed.groupBy("source").agg(words).collect()}
+    assert got == pytest.approx(target, rel=0.05)
+    whole = {r.source: r.words for r in made.groupBy("source").agg(words).collect()}
+    long = mixed.where("length(text) > 2000").groupBy("source").agg(words).collect()
+    of = {r.source: r.words for r in made.where("length(text) > 2000").groupBy("source").agg(words).collect()}
+    assert {r.source: r.words / of[r.source] for r in long} == pytest.approx({s: target[s] / whole[s] for s in target}, rel=0.1)
+
+
 def test_crc_of_checked_tokens():
     assert secrets.base62_crc("") == "000000" and len(secrets.base62_crc("x" * 30)) == 6
