@@ -301,7 +301,8 @@ def rest_links(docs: DataFrame, chunks: DataFrame, labels: DataFrame, pairs: Dat
     held = cut(torn.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "grp", "chunk", F.coalesce("label", "id").alias("label")))
     keys = keyed(docs, held.select("id", "grp", "label"), count, params)
     mixed = cut(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"))
-    keys = cut(keys.join(F.broadcast(mixed) if mixed.count() <= params.broadcast_rows else mixed, "key").select("key", "id", "grp"))
+    # a repeated row has the keys of its id again, which would count twice and leave the XOR
+    keys = cut(keys.join(F.broadcast(mixed) if mixed.count() <= params.broadcast_rows else mixed, "key").select("key", "id", "grp").distinct())
     release(docs.sparkSession)
     shared = keys.groupBy("key", "grp").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("same"))
     shared = cut(shared.groupBy("grp", "k", "same").agg(F.min("key").alias("key")).withColumn("pieces", F.ceil(F.col("k") / params.chunk)))

@@ -425,6 +425,18 @@ def test_jaccard_by_brute_force(spark, size, over, chunk):
     assert got == plain_components(rows, size, over)
 
 
+def test_jaccard_of_repeated_rows(spark):
+    # a chain of families: the groups of the keys are small, and hold the whole chain together
+    random.seed(17)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(8 * (i // 3), 8 * (i // 3) + 40)]
+        rows.append((7 * i % 121, " ".join(w if random.random() > 0.04 else f"c{i}" for w in words)))
+    df = docs(spark, [(*r, "en", "a") for r in [*rows, *rows]]).repartition(5)
+    found = jaccard.jaccard_components(df, jaccard.JaccardParams(shingle=1, over=80, chunk=2)).collect()
+    assert len(found) == 2 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components(rows, 1, 80)
+
+
 def test_jaccard_edge_cases(spark, odd, none):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect())
     assert len(got) == len(ODD) and ("None", 1, None) in got and got.count(("5", 1, 5)) == 2 and ("1", 0, 1) in got
