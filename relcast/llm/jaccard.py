@@ -230,8 +230,11 @@ def tree_links(rows: DataFrame, keys: list[str], over: int) -> DataFrame:
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def joined(held: list[tuple]) -> list[tuple[int, int]]:
-        held = list({row[0]: row for row in sorted(held, key=lambda row: row[0])}.values())
-        join = TreeJoin([np.frombuffer(row[1], np.uint64) for row in held], over, [row[3] for row in held] if crossed else None)
+        # an id with several texts has a row for each that has words, in one component from the start
+        held = sorted({row for row in held if row[1]})
+        if len(held) < 2:
+            return []
+        join = TreeJoin([np.frombuffer(row[1], np.uint64) for row in held], over, [row[3] if crossed else row[0] for row in held])
         sides = [[i for i, row in enumerate(held) if row[2] == side] for side in (0, 1)]
         if all(sides):
             join.across(join.tree(sides[0]), join.tree(sides[1]))

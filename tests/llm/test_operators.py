@@ -437,6 +437,14 @@ def test_jaccard_of_repeated_rows(spark):
     assert len(found) == 2 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components(rows, 1, 80)
 
 
+@pytest.mark.parametrize("chunk", [256, 2])
+def test_jaccard_of_ids_with_several_texts(spark, chunk):
+    text = lambda *parts: " ".join(f"{p}{k}" for p, n in parts for k in range(n))
+    rows = [(1, text(("a", 40), ("x", 1))), (2, text(("a", 40), ("y", 1))), (2, text(("b", 40), ("y", 1))), (2, text(("b", 40), ("y", 1))), (2, ""), (3, text(("b", 40), ("x", 1))), (4, text(("e", 40)))]
+    got = jaccard.jaccard_components(docs(spark, [(*r, "en", "a") for r in rows]).repartition(3), jaccard.JaccardParams(shingle=1, over=80, chunk=chunk)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (2, 1), (2, 2), (3, 1), (4, 4)]
+
+
 def test_jaccard_edge_cases(spark, odd, none):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect())
     assert len(got) == len(ODD) and ("None", 1, None) in got and got.count(("5", 1, 5)) == 2 and ("1", 0, 1) in got
