@@ -50,8 +50,12 @@ def rounded(taken: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded down or up so that a source's words meet its target."""
-    keyed = docs.withColumn("__id", F.struct("source", "doc_id"))
+    """Each document as often as the mix takes its words, rounded down or up so that a source's words meet its target.
+
+    Rows without an id are told apart by their texts.
+    """
+    digest = F.when(F.col("doc_id").isNull(), F.md5(F.encode("text", "utf-8")))
+    keyed = docs.withColumn("__id", F.struct("source", "doc_id", digest.alias("digest")))
     taken = cut(mixing.mix_documents(keyed, id_col="__id").groupBy("__id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")))
     found = beside(keyed, cut(rounded(taken)), "__id")
     return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

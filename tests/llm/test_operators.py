@@ -526,5 +526,17 @@ def test_mixed_sources_meet_their_targets(spark):
     assert {r.source: r.words / of[r.source] for r in long} == pytest.approx({s: target[s] / whole[s] for s in target}, rel=0.1)
 
 
+def test_mixing_stage_keeps_rows_without_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(19)
+    rows = [(None if i % 2 else i, f"t{i} " + "w " * random.choice([3, 40, 300]), "en", [None, "b", "c"][i % 3]) for i in range(900)]
+    made = docs(spark, rows)
+    counts = lambda df: {(r.source, r.none): r["count"] for r in df.groupBy("source", F.col("doc_id").isNull().alias("none")).count().collect()}
+    before, after = counts(made), counts(pipeline.mix_sources(spark, made, ""))
+    assert all(v == 150 for v in before.values()) and set(after) == set(before)
+    for source in (None, "b", "c"):
+        assert after[source, True] == pytest.approx(after[source, False], rel=0.25)
+
+
 def test_crc_of_checked_tokens():
     assert secrets.base62_crc("") == "000000" and len(secrets.base62_crc("x" * 30)) == 6
