@@ -557,7 +557,8 @@ def stable_id_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stable_id_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", identity.stable_id(identity.basic_payload(F.col("p_name"))).alias("stable_id"), udfs.stable_config_id(F.lit("field"), F.col("p_brand"), F.col("p_name")).alias("config_id"))
+    config = udfs.stable_config_id(F.lit("field"), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", identity.stable_id(identity.basic_payload(F.col("text"))).alias("stable_id"), config.alias("config_id"))
 
 
 @query("SELECT id, 'artifact:' || sha1('{\"Brand\":' || to_json(p_brand)::VARCHAR || ',\"Name\":' || to_json(p_name)::VARCHAR || '}') AS fingerprint FROM (SELECT 'part:' || p_partkey AS id, * FROM part)")

@@ -19,6 +19,15 @@ def test_query_without_twin_has_rows(spark, sf_dir, name):
     assert register.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_blake3_ids_are_of_whole_documents(spark, sf_dir):
+    from relcast.functions.blake3 import blake3_hex
+
+    got = {r.doc_id: r.stable_id for r in register.QUERIES["stable_id_blake3"](spark, sf_dir).collect()}
+    whole = {r.doc_id: r.canonical for r in register.QUERIES["canonical_payload"](spark, sf_dir).collect()}
+    assert any(len(c) > 4 * 1024 for c in whole.values())
+    assert got == {i: None if c is None else "afid:v1:" + blake3_hex(c.encode()) for i, c in whole.items()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
