@@ -151,10 +151,28 @@ def mime_of_name(c: Column) -> Column:
     return F.try_element_at(table, F.regexp_extract(ascii_lower(c), r"\.([^.]*)$", 1))
 
 
+def is_sfnt(head: Column) -> Column:
+    """Whether the numbers of a font's table directory agree; ``head`` is the hex of the first bytes."""
+    tables, search, selector, shift = (F.conv(F.substring(head, at, 4), 16, 10).cast("bigint") for at in (9, 13, 17, 21))
+    log = F.length(F.bin(tables)) - 1
+    return (F.length(head) >= 24) & tables.between(1, 512) & (selector == log) & (search == F.pow(F.lit(2.0), log) * 16) & (shift == tables * 16 - search)
+
+
+def text_mime(plain: Column) -> Column:
+    """Of an ASCII text: html, javascript, css, or plain."""
+    trimmed = F.regexp_replace(plain, r"\A[ \t\n\r]+", "")
+    low, first = ascii_lower(F.substring(trimmed, 1, 128)), F.substring(trimmed, 1, 1024)
+    css = low.rlike(r"\A@(charset|import|font-face|media)") | (first.rlike(r"\A[.#:*\[]") & F.contains(first, F.lit("{")) & F.contains(first, F.lit("}")))
+    html, script = low.rlike(r"\A<(!doctype html|html|head|body)"), low.rlike(r"\A(import|export|function|const|let|var) ")
+    return F.when(html, "text/html").when(script, "text/javascript").when(css, "text/css").otherwise("text/plain")
+
+
 def sniffed(content: Column) -> Column:
     """struct(mime, high): by the first bytes (high), or by what the text looks like (low)."""
     head = F.hex(F.substring(content, 1, 16))
     text = F.lower(F.ltrim(content.cast("string")))
+    sample = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
+    is_mp4 = (F.length(head) >= 24) & (F.substring(head, 9, 8) == "66747970")
 
     def out(mime: str, high: bool) -> Column:
         return F.struct(F.lit(mime).alias("mime"), F.lit(high).alias("high"))
@@ -167,11 +185,18 @@ def sniffed(content: Column) -> Column:
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57415645"), out("audio/wav", True))
         .when(head.startswith("494433"), out("audio/mpeg", True))
         .when(head.startswith("4F676753"), out("audio/ogg", True))
+        .when(head.rlike("^FFF[0189]"), out("audio/aac", True))
+        .when(is_mp4 & F.substring(head, 17, 8).isin("4D344120", "4D344220", "4D345020"), out("audio/mp4", True))
+        .when(is_mp4, out("video/mp4", True))
+        .when(head.startswith("1A45DFA3") & F.contains(ascii_lower(F.substring(sample, 1, 2051)), F.lit("webm")), out("video/webm", True))
         .when(head.startswith("25504446"), out("application/pdf", True))
         .when(head.startswith("774F4646"), out("font/woff", True))
         .when(head.startswith("774F4632"), out("font/woff2", True))
+        .when((head.startswith("00010000") | head.startswith("74727565")) & is_sfnt(head), out("font/ttf", True))
+        .when(head.startswith("4F54544F") & is_sfnt(head), out("font/otf", True))
         .when(text.startswith("<svg"), out("image/svg+xml", False))
         .when(text.startswith("<!doctype html") | text.startswith("<html"), out("text/html", False))
+        .when(sample.rlike(r"\A[\x20-\x7E\t\n\r]+\z"), F.struct(text_mime(sample).alias("mime"), F.lit(False).alias("high")))
     )
 
 

@@ -203,3 +203,18 @@ def test_wrapped_fronts(spark):
     df = spark.createDataFrame([("all", ["A", "B"]), ("any", ["A", "B"]), ("any", []), ("none", ["A"])], "k string, f array<string>")
     got = [r.w for r in df.select(tx.wrapped_front(F.lit("x"), F.col("k"), F.col("f")).alias("w")).collect()]
     assert got == ["{{#A}}{{#B}}x{{/B}}{{/A}}", "{{#A}}x{{/A}}{{^A}}{{#B}}x{{/B}}{{/A}}", "", "x"]
+
+
+SNIFFS = [
+    (b"\xff\xf1\x50\x80", "audio/aac", True), (b"\xff\xf8", "audio/aac", True), (b"\xff\xf4", None, None),
+    (b"\0\0\0\x18ftypM4A ", "audio/mp4", True), (b"\0\0\0\x18ftypisom", "video/mp4", True), (b"\0\0\0\x18ftypiso", None, None),
+    (b"\x1a\x45\xdf\xa3" + b"\x9f" * 2043 + b"WebM", "video/webm", True), (b"\x1a\x45\xdf\xa3" + b"\x9f" * 2044 + b"webm", None, None),
+    (b"\0\1\0\0\0\x0c\0\x80\0\x03\0\x40", "font/ttf", True), (b"true\0\x08\0\x80\0\x03\0\0", "font/ttf", True), (b"OTTO\0\x01\0\x10\0\0\0\0", "font/otf", True), (b"\0\1\0\0\0\x0c\0\x80\0\x03\0\x41", None, None), (b"\0\1\0\0\0\0\0\0\0\0\0\0", None, None),
+    (b"just words\n", "text/plain", False), (b"\n <Head>", "text/html", False), (b"const a = 1", "text/javascript", False), (b" @import 'a'", "text/css", False), (b".a { b: c }", "text/css", False), (b".a b", "text/plain", False),
+    (b"", None, None), (b"nul\0", None, None), ("\u00fc".encode(), None, None), (b"x" * 8192 + b"\xff", "text/plain", False), (b"%PDF-1.7", "application/pdf", True),
+]
+
+
+def test_sniffed_kinds(spark):
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, (b, _, _) in enumerate(SNIFFS)], "i int, b binary").select("i", tx.sniffed(F.col("b")).alias("s"))
+    assert [(r.s and r.s.mime, r.s and r.s.high) for r in rows.orderBy("i").collect()] == [(m, h) for _, m, h in SNIFFS]
