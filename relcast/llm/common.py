@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,22 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back: lineage ends there, an executor may be lost."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relcast-"))
-    return df.checkpoint(eager=True)
+#: Shuffle files of an execution go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of plans that nothing holds any more.
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and read it back: lineage ends there, an executor may be lost.
 
-    Spark removes them when the driver's garbage is collected, which an idle driver may not do for long; on executors'
-    disks they would lie beside those of the next steps.
+    The folder is that of ``spark.checkpoint.dir``. Without one, a session in a single process gets a folder of its own;
+    any other raises an error, since its executors share no local folder. What the plan has shuffled is deleted then.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="relcast-"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def ascii_lower(column: Column) -> Column:

@@ -1,11 +1,12 @@
 """N-gram Jaccard join: documents whose shingle sets are similar, with their components, by signature trees.
 
 Trees need neighbourhoods of bounded size, and these lose no link: a pair of similar sets of sizes a and b differs in at most
-D = (a + b) (100 - over) / (100 + over) tokens, so if tokens are dealt to D + 1 parts by a hash, one part is equal in both.
-Sizes fall into classes so that similar sets are in the same class or in neighbouring ones; a document gives the hash of
-each part for its own class and, if it can have larger partners, for the next. Documents with a common hash are candidates; candidate
-groups are cut into chunks, a signature tree joins each chunk, and trees of two chunks, or of the sets that share a key, are
-traversed wherever the group isn't one component yet.
+D = (a + b) (100 - over) / (100 + over) tokens, so if tokens are dealt to D + 1 parts, one part is equal in both. Sizes fall
+into classes so that similar sets are in the same class or in neighbouring ones; of each different set, the hash of each
+part is sent for its own class and, if it can have larger partners, for the next. Beside the hash lie parity bits of the next parts, which
+similar sets nearly share (``PartKeys``), so sets that have a part in common by chance aren't united. Candidate groups
+are cut into chunks, a signature tree joins each chunk, and trees of two chunks are traversed together wherever the
+group isn't one component yet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, per_text, release, texts
+from .common import batches, cut, per_text, texts
 from .components import Forest, components
 from .signature_tree import TreeJoin
 
@@ -31,6 +32,11 @@ class JaccardParams:
     shingle: int = 5  # words
     over: int = 80  # two sets link when 100 * intersection >= over * union
     chunk: int = 256  # sets in a tree
+    chain: int = 8  # parts whose parity lies beside a key
+    piece: int = 2048  # rows of a key that are compared at once
+    sample: int = 64  # of so many documents one is looked at for common keys,
+    common_rows: int = 16  # which are those that so many documents of the sample have, if most of them differ,
+    common_keys: int = 1 << 16  # and no more than so many; a key more or less changes the work, not the result
     broadcast_rows: int = 1_000_000  # candidates up to so many (of 24 bytes) are broadcast to the texts, more are joined by a shuffle
 
 
@@ -93,14 +99,14 @@ def shingle_sets(batch: list[bytes | None], size: int, powers: Powers) -> list[n
 class SizeClasses:
     """Classes of sizes [low, high]: two similar sets are in one class or in neighbouring ones.
 
-    ``parts`` is how many parts a class deals tokens to: D + 1, by which one part is equal in both sets, and ``spare``
-    more, by which 1 + spare parts are equal.
+    A class deals the 64-bit space of tokens to ``parts`` equal ranges: D + 1, so that one range at least holds the same
+    tokens in both sets, and ``spare`` more, so that 1 + spare ranges do.
     """
 
-    def __init__(self, over: int, more: float = 0.35):
+    def __init__(self, over: int, more: float = 0.1):
         low = [1]
         while low[-1] < 1 << 40:
-            low.append(100 * low[-1] // over + 1)
+            low.append(100 * (100 * low[-1] // over) // over + 1)
         self.low, self.over = np.array(low, np.int64), over
         needed = 2 * (self.low[1:] - 1) * (100 - over) // (100 + over) + 1
         self.spare = np.where(needed > 1, np.ceil(needed * more), 0).astype(np.int64)
@@ -110,57 +116,111 @@ class SizeClasses:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-def part_keys(sets: list[np.ndarray], ids: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id) of the larger parts of the sets, for their own class and the next.
-
-    A set leaves out its parts of fewer than q tokens, with the greatest q for which these are at most ``spare``: empty and
-    tiny parts, which sets have in common by chance. No pair is lost: of the 1 + spare parts that are equal in both, one
-    has at least the greater of the two q.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    own, keys, owners = classes.of(np.maximum(sizes, 1)), [], []
-    for up in (0, 1):
-        cls = own + up
-        on = np.flatnonzero((sizes > 0) & ((up == 0) | (100 * sizes // classes.over >= classes.low[cls])))
-        if not len(on):
-            continue
-        parts = classes.parts[cls[on]]
-        base = np.cumsum(parts) - parts
-        flat, owner = np.concatenate([sets[i] for i in on]), np.repeat(np.arange(len(on)), sizes[on])
-        place = base[owner] + (mix(flat + np.uint64(1)) % parts[owner].astype(np.uint64)).astype(np.int64)
-        value, total = mix(flat + np.uint64(2)), int(parts.sum())
-        # sums of 32-bit halves are exact in floats
-        sums = [np.bincount(place, (half & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64) for half in (value, value >> np.uint64(32))]
-        counts, of = np.bincount(place, minlength=total), np.repeat(np.arange(len(on)), parts)
-        spot = (np.arange(total) - base[of]).astype(np.uint64) + (cls[on][of].astype(np.uint64) << np.uint64(40))
-        made = mix((sums[0] + (sums[1] << np.uint64(32))) ^ mix(spot + np.uint64(3)))
-        # the count at place ``spare`` in ascending order is the greatest q
-        ascending = np.sort(of * (int(counts.max()) + 1) + counts) % (int(counts.max()) + 1)
-        least = ascending[base + np.minimum(classes.spare[cls[on]], parts - 1)]
-        kept = counts >= least[of]
-        keys.append(made[kept])
-        owners.append(ids[on][of[kept]])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+class PartKeys:
+    """Keys of sets: hashes of the tokens in a part, each with the parity bits of the ``chain`` parts that follow.
 
+    Say two similar sets differ in b[j] tokens of part j. The numbers 1 - b[j] are at most 1 and their sum is 1 + spare at
+    least, so by the cycle lemma there are 1 + spare parts from which every run of l parts (the last part is followed by the
+    first) has fewer than l differing tokens. Such a part is equal in both sets, and the following ``chain`` parts
+    differ in ``chain`` tokens at most, so their parities (bit t is odd if an odd number of tokens hash to t) differ in as
+    many bits at most. That tells most sets that share a part by chance, without sending them.
 
-def thinned(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, with its least id; ids that had a key in common get a key of their own with their least id.
+    A set leaves out its parts of fewer than q tokens, with the greatest q for which these are at most ``spare``: empty
+    and tiny parts, which sets have in common by chance. No pair is lost: of 1 + spare good parts, one has at least the
+    greater of the two q. Rows of keys in ``common`` (sorted), which many different sets have, become rows of
+    ``chain`` + 1 longer keys: the tokens of the following parts are dealt to so many shares, one of which is equal as well.
+    """
 
-    So a key that a third of the rows have leaves a batch as one row. Common keys of a batch are joined to stars first.
+    def __init__(self, over: int, chain: int, common: np.ndarray | None = None):
+        self.classes, self.chain, self.common = SizeClasses(over), chain, common if common is not None else np.empty(0, np.uint64)
+
+    def __call__(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, parity, id)"""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        own, made = self.classes.of(np.maximum(sizes, 1)), []
+        for up in (0, 1):
+            cls = own + up
+            on = np.flatnonzero((sizes > 0) & ((up == 0) | (100 * sizes // self.classes.over >= self.classes.low[cls])))
+            if len(on):
+                made.append(self.rows(np.concatenate([sets[i] for i in on]), sizes[on], cls[on], ids[on]))
+        if not made:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+    def rows(self, flat: np.ndarray, sizes: np.ndarray, cls: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``flat`` has the sorted tokens of one set after the other, so the parts lie one after the other as well."""
+        parts = self.classes.parts[cls]
+        base, total = np.cumsum(parts) - parts, int(parts.sum())
+        wide = np.repeat(parts.astype(np.uint64), sizes)
+        place = np.repeat(base, sizes) + (((flat >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64)
+        counts = np.bincount(place, minlength=total)
+        ends = np.cumsum(counts)
+        value = mix(flat + np.uint64(2))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        odd = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (value >> np.uint64(58)))])
+        of = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(total) - base[of]
+        # the count at place ``spare`` in ascending order is the greatest q
+        top = int(counts.max()) + 1
+        least = (np.sort(of * top + counts) % top)[base + np.minimum(self.classes.spare[cls], parts - 1)]
+        kept = np.flatnonzero(counts >= least[of])
+        of, number = of[kept], number[kept]
+        spot = number.astype(np.uint64) + (cls[of].astype(np.uint64) << np.uint64(40))
+        key = mix((sums[ends[kept]] - sums[ends[kept] - counts[kept]]) ^ mix(spot + np.uint64(3)))
+        ahead = np.minimum(self.chain, parts - 1)[of]
+        stop = number + ahead
+        wrap = stop >= parts[of]
+        first, last = base[of], base[of] + parts[of] - 1
+        direct = odd[ends[np.minimum(kept + ahead, last)]] ^ odd[ends[kept]]
+        around = odd[ends[first + np.maximum(stop - parts[of], 0)]] ^ odd[ends[first] - counts[first]]
+        parity = direct ^ np.where(wrap, around, np.uint64(0))
+        if len(self.common) and len(hot := np.flatnonzero(self.common[np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)] == key)):
+            more = self.longer(value, ends, counts, key[hot], kept[hot], ahead[hot], first[hot], last[hot])
+            rest, shares = np.setdiff1d(np.arange(len(key)), hot), self.chain + 1
+            return np.concatenate([key[rest], more]), np.concatenate([parity[rest], np.repeat(parity[hot], shares)]), np.concatenate([ids[of[rest]], np.repeat(ids[of[hot]], shares)])
+        return key, parity, ids[of]
+
+    def longer(self, value: np.ndarray, ends: np.ndarray, counts: np.ndarray, key: np.ndarray, part: np.ndarray, ahead: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each key ``chain`` + 1 keys, each with a share of the tokens in the following parts."""
+        shares = self.chain + 1
+        sums = np.zeros((len(key), shares), np.uint64)
+        for step in range(1, self.chain + 1):
+            on = np.flatnonzero(ahead >= step)
+            at = part[on] + step
+            at = np.where(at > last[on], at - (last[on] - first[on] + 1), at)
+            size = counts[at]
+            row = np.repeat(on, size)
+            token = value[np.repeat(ends[at] - size, size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
+            np.add.at(sums, (row, (token % np.uint64(shares)).astype(np.int64)), token)
+        return mix(sums ^ mix(key[:, None] + np.arange(1, shares + 1, dtype=np.uint64)[None, :])).ravel()
+
+
+def thinned(keys: np.ndarray, parities: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key and parity once, with its least id; ids that had both in common get a key of their own with their least id.
+
+    So a key that a third of the rows have leaves a batch as few rows. Common keys of a batch are joined to stars first.
     """
     if not len(keys):
-        return keys, ids
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    on = ~new & (ids != least)
+        return keys, parities, ids
+    order = np.argsort(keys, kind="stable")
+    keys, parities, ids = keys[order], parities[order], ids[order]
+    same = np.concatenate([[False], keys[1:] == keys[:-1]])
+    several = same | np.concatenate([same[1:], [False]])
+    if not several.any():
+        return keys, parities, ids
+    some = np.flatnonzero(several)
+    some = some[np.lexsort((ids[some], parities[some], keys[some]))]
+    new = np.concatenate([[True], (keys[some][1:] != keys[some][:-1]) | (parities[some][1:] != parities[some][:-1])])
+    least = ids[some[new]][np.cumsum(new) - 1]
+    on = ~new & (ids[some] != least)
     forest = Forest()
-    for a, b in np.unique(np.stack([ids[on], least[on]], 1), axis=0).tolist():
+    for a, b in np.unique(np.stack([ids[some][on], least[on]], 1), axis=0).tolist():
         forest.join(a, b)
     pairs = np.array(forest.stars(), np.int64).reshape(-1, 2)
     link = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) * np.uint64(BASE))
-    return np.concatenate([keys[new], link, link]), np.concatenate([ids[new], pairs[:, 0], pairs[:, 1]])
+    kept = np.concatenate([np.flatnonzero(~several), some[new]])
+    none = np.zeros(len(link), np.uint64)
+    return np.concatenate([keys[kept], link, link]), np.concatenate([parities[kept], none, none]), np.concatenate([ids[kept], pairs[:, 0], pairs[:, 1]])
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
@@ -179,20 +239,103 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return per_text(docs, ["id"], "text", "n bigint, m bigint, f1 bigint, f2 bigint", make)
 
 
-def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """(a, b): documents and the least one with which they have a key in common; one exchange of (key, id) rows."""
-    classes = SizeClasses(params.over)
+def part_rows(docs: DataFrame, params: JaccardParams, common: np.ndarray | None = None) -> DataFrame:
+    """(key, parity, id) of the sets of ``docs`` (id, text), in one pass."""
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, keys_of = Powers(), PartKeys(params.over, params.chain, common)
         for batch in batches(frames, "text", 4096, 4 << 20):
-            keys, ids = thinned(*part_keys(shingle_sets(texts(batch, "text"), params.shingle, powers), batch.column("id").to_numpy(), classes))
-            for k in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(ids[k : k + 100_000])], ["key", "id"])
+            made = thinned(*keys_of(shingle_sets(texts(batch, "text"), params.shingle, powers), batch.column("id").to_numpy()))
+            for k in range(0, len(made[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in made], ["key", "parity", "id"])
+
+    return docs.select("id", "text").mapInArrow(run, "key bigint, parity bigint, id bigint")
+
 
-    keys = docs.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "key bigint, id bigint")
-    least = keys.withColumn("b", F.min("id").over(Window.partitionBy("key")))
-    return least.where("id <> b").select(F.col("id").alias("a"), "b")
+def common_keys(docs: DataFrame, params: JaccardParams) -> np.ndarray:
+    """Sorted keys that many documents of a sample have, most of them without the parity of the one beside them.
+
+    They come of passages that documents share; ``PartKeys`` makes them longer, so that no task meets all documents with
+    such a passage. Keys of near copies aren't among them.
+    """
+    rows = part_rows(docs.where(F.pmod(F.xxhash64("id"), F.lit(params.sample)) == 0), params)
+    beside = F.lag("parity").over(Window.partitionBy("key").orderBy("id"))
+    far = rows.withColumn("far", (F.bit_count(F.col("parity").bitwiseXOR(beside)) > params.chain).cast("int"))
+    found = far.groupBy("key").agg(F.count("*").alias("n"), F.avg("far").alias("far")).where((F.col("n") >= params.common_rows) & (F.col("far") > 0.5))
+    return np.sort(np.array([r["key"] for r in found.orderBy(F.col("n").desc(), "key").limit(params.common_keys).select("key").collect()], np.int64).view(np.uint64))
+
+
+def near_pairs(group: np.ndarray, parity: np.ndarray, side: np.ndarray, most: int) -> np.ndarray:
+    """For each row the place of a row that it hangs together with: rows of a group and of different sides whose parities differ in ``most`` bits at most.
+
+    ``group`` is sorted. Sides -1 are compared with each other. Rows are compared with the next, the one after it and
+    so on; groups that are one component already are left.
+    """
+    top, open_rows = np.arange(len(group)), np.arange(len(group))
+    step = 1
+    while len(open_rows):
+        open_rows = open_rows[open_rows + step < len(group)]
+        open_rows = open_rows[group[open_rows + step] == group[open_rows]]
+        other = open_rows + step
+        near = (np.bitwise_count(parity[open_rows] ^ parity[other]) <= most) & ((side[open_rows] < 0) | (side[open_rows] != side[other])) & (top[open_rows] != top[other])
+        for a, b in zip(open_rows[near].tolist(), other[near].tolist(), strict=True):
+            a, b = root(top, a), root(top, b)
+            top[max(a, b)] = min(a, b)
+        while not np.array_equal(up := top[top], top):
+            top = up
+        if step & (step - 1) == 0 and len(open_rows):
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            apart = np.minimum.reduceat(top, starts) != np.maximum.reduceat(top, starts)
+            open_rows = open_rows[apart[np.searchsorted(starts, open_rows, side="right") - 1]]
+        step += 1
+    return top
+
+
+def root(top: np.ndarray, at: int) -> int:
+    while top[at] != at:
+        at = int(top[at])
+    return at
+
+
+def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): edges that join all sets of ``docs`` (id, text) that may be similar.
+
+    One exchange of (key, parity, id) rows; the few keys that several rows have are written. The rows of a key that has
+    too many for one task are compared by pairs of pieces.
+    """
+    rows = part_rows(docs, params, common_keys(docs, params))
+    shared = cut(rows.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1"))
+    pieces = F.ceil(F.col("k") / params.piece)
+    met = shared.select("key", "parity", "id", F.pmod(F.xxhash64("parity"), pieces).alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("d"))
+    met = met.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "parity", "id", F.when(F.col("c") == F.col("d"), -1).otherwise((F.col("c") > F.col("d")).cast("int")).alias("side"))
+    ordered = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "parity", "id")
+
+    def edges(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, i, j, parity, ids, side = held
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (parity[1:] != parity[:-1])])
+        first = np.flatnonzero(new)
+        top = first[near_pairs(group[first], parity[first].view(np.uint64), side[first], params.chain)]
+        a, b = ids, ids[top[np.cumsum(new) - 1]]
+        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = None, ("key", "i", "j", "parity", "id", "side")
+        for frame in frames:
+            new = [frame.column(name).to_numpy().astype(np.int64) for name in names]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(held[0]) < 100_000:
+                continue
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at:
+                yield edges([x[:at] for x in held])
+                held = [x[at:] for x in held]
+        if held is not None and len(held[0]):
+            yield edges(held)
+
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def chunked(members: DataFrame, params: JaccardParams) -> DataFrame:
@@ -277,50 +420,14 @@ def crossing(chunks: DataFrame, labels: DataFrame, over: int) -> DataFrame:
     return left.join(right, "grp").where((F.col("chunk_i") < F.col("chunk_j")) & fits & apart).select("grp", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), (F.col("k_i") + F.col("k_j")).alias("rows"))
 
 
-def keyed(docs: DataFrame, held: DataFrame, count: int, params: JaccardParams) -> DataFrame:
-    """(key, id, grp, label): the keys of the documents in ``held`` (id, grp, label)."""
-    classes, found = SizeClasses(params.over), docs.join(F.broadcast(held) if count <= params.broadcast_rows else held, "id")
-
-    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches(frames, "text"):
-            keys, rows = part_keys(shingle_sets(texts(batch, "text"), params.shingle, powers), np.arange(batch.num_rows), classes)
-            for k in range(0, len(keys), 100_000):
-                spot = pa.array(rows[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), *(batch.column(c).take(spot) for c in ("id", "grp", "label"))], ["key", "id", "grp", "label"])
-
-    return found.select("id", "grp", "label", "text").mapInArrow(run, "key bigint, id bigint, grp bigint, label bigint")
-
-
-def rest_links(docs: DataFrame, chunks: DataFrame, labels: DataFrame, pairs: DataFrame, count: int, params: JaccardParams) -> DataFrame:
-    """(a, b): links between chunks of a group.
-
-    Sets of different components can only be similar if they have a key in common. So either all pairs of chunks in
-    ``pairs`` are joined, or the sets of each key that more than one component has (of keys with the same sets, one): for
-    each group whichever sends fewer rows. The first is less for groups that are dense, the second for groups that hang
-    together by chance. The sets of a key that has too many for one tree are joined by pairs of chunks as well.
-    """
+def rest_links(docs: DataFrame, chunks: DataFrame, labels: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): links between the chunks of a group that ``pairs`` (grp, i, j) names."""
     torn = chunks.join(pairs.select("grp").distinct(), "grp", "left_semi")
     held = cut(torn.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "grp", "chunk", F.coalesce("label", "id").alias("label")))
-    keys = keyed(docs, held.select("id", "grp", "label"), count, params)
-    mixed = cut(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"))
-    # a repeated row has the keys of its id again, which would count twice and leave the XOR
-    keys = cut(keys.join(F.broadcast(mixed) if mixed.count() <= params.broadcast_rows else mixed, "key").select("key", "id", "grp").distinct())
-    release(docs.sparkSession)
-    shared = keys.groupBy("key", "grp").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("same"))
-    shared = cut(shared.groupBy("grp", "k", "same").agg(F.min("key").alias("key")).withColumn("pieces", F.ceil(F.col("k") / params.chunk)))
-    by_pairs, by_keys = pairs.groupBy("grp").agg(F.sum("rows").alias("p")), shared.groupBy("grp").agg(F.sum(F.col("k") * F.col("pieces")).alias("q"))
-    chosen = cut(by_pairs.join(by_keys, "grp", "left").select("grp", (F.coalesce("q", F.lit(0)) < F.col("p")).alias("by_key")))
-    sets = with_sets(docs, held, count, params)
     side = lambda chunk, n: F.struct(F.col(chunk).alias("chunk"), F.lit(n).alias("side"))
-    ends = pairs.join(chosen.where("NOT by_key"), "grp", "left_semi").select("grp", "i", "j", F.inline(F.array(side("i", 0), side("j", 1))))
-    first = sets.join(ends, ["grp", "chunk"]).select(F.lit(0).alias("kind"), "grp", "i", "j", "side", "id", "label", "tokens")
-    wanted = shared.join(chosen.where("by_key"), "grp", "left_semi").select("key", "pieces")
-    own = F.pmod(F.xxhash64("id"), F.col("pieces"))
-    met = keys.select("key", "id").join(wanted, "key").select("key", "id", own.alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("d"))
-    met = met.select("key", "id", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1).alias("side"))
-    second = sets.select("id", "label", "tokens").join(met, "id").select(F.lit(1).alias("kind"), F.col("key").alias("grp"), "i", "j", "side", "id", "label", "tokens")
-    return tree_links(first.unionByName(second), ["kind", "grp", "i", "j"], params.over)
+    ends = pairs.select("grp", "i", "j", F.inline(F.array(side("i", 0), side("j", 1))))
+    met = with_sets(docs, held, held.count(), params).join(ends, ["grp", "chunk"]).select("grp", "i", "j", "side", "id", "label", "tokens")
+    return tree_links(met, ["grp", "i", "j"], params.over)
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,19 +441,19 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     sized = cut(summaries(plain, params.shingle))
     classes = cut(sized.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     members = cut(sized.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select("id", "n", "m", "rep"))
-    groups = components(candidate_edges(plain, params)).select("id", F.col("label").alias("grp"))
-    release(docs.sparkSession)
+    copies = cut(members.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).where("copy").select("id"))
+    written = plain.where("id IS NOT NULL AND text IS NOT NULL")
+    # more copies than may be broadcast send their keys as well, of which each batch keeps one
+    differing = written.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= params.broadcast_rows else written
+    groups = components(candidate_edges(differing, params)).select("id", F.col("label").alias("grp"))
     sets = cut(members.where("id = rep").select("id", "n", "m").distinct().join(groups, "id"))
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     chunks = cut(chunked(sets.join(several, "grp", "left_semi"), params))
-    count = chunks.count()
-    filled = with_sets(plain, chunks.select("id", "grp", "chunk", "many"), count, params)
-    links = cut(tree_links(filled, ["grp", "chunk"], params.over))
-    release(docs.sparkSession)
+    links = cut(tree_links(with_sets(plain, chunks.select("id", "grp", "chunk"), chunks.count(), params), ["grp", "chunk"], params.over))
     labels = components(links)
     pairs = cut(crossing(chunks, labels, params.over))
     if not pairs.isEmpty():
-        links = cut(links.unionByName(rest_links(plain, chunks, labels, pairs, count, params)))
+        links = cut(links.unionByName(rest_links(plain, chunks, labels, pairs, params)))
         labels = components(links)
     # links between rows of one id with different texts go through the id
     twice = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")

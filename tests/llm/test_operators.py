@@ -421,8 +421,9 @@ def test_jaccard_by_brute_force(spark, size, over, chunk):
             words[random.randrange(len(words))] = random.choice(vocabulary)
         rows.append((i, " ".join(words)))
     df = docs(spark, [(*r, "en", "a") for r in rows]).repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, jaccard.JaccardParams(shingle=size, over=over, chunk=chunk)).collect()}
-    assert got == plain_components(rows, size, over)
+    for more in ({}, {"sample": 1, "common_rows": 2, "piece": 3, "chain": 2, "broadcast_rows": 0}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, jaccard.JaccardParams(shingle=size, over=over, chunk=chunk, **more)).collect()}
+        assert got == plain_components(rows, size, over)
 
 
 def test_jaccard_of_repeated_rows(spark):
@@ -455,18 +456,47 @@ def test_jaccard_edge_cases(spark, odd, none):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == none.columns
 
 
-def test_similar_sets_always_share_a_part():
+@pytest.mark.parametrize("everything_common", [False, True])
+def test_similar_sets_always_share_a_part(everything_common):
     rng = np.random.default_rng(10)
     for over in (60, 80, 90):
-        classes = jaccard.SizeClasses(over)
-        for _ in range(300):
-            a = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
-            b = np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])
-            x, y = np.unique(a), np.unique(b)
-            common = len(np.intersect1d(x, y))
-            if len(y) and 100 * common >= over * (len(x) + len(y) - common):
-                keys, owners = jaccard.part_keys([x, y], np.array([1, 2]), classes)
-                assert set(keys[owners == 1].tolist()) & set(keys[owners == 2].tolist())
+        for chain in (1, 8):
+            for _ in range(300):
+                a = rng.integers(0, 2**64, rng.integers(1, 300), np.uint64)
+                b = np.concatenate([a[rng.random(len(a)) > rng.choice([0.02, 0.1])], rng.integers(0, 2**64, rng.integers(0, 1 + len(a) // 8), np.uint64)])
+                x, y = np.unique(a), np.unique(b)
+                common = len(np.intersect1d(x, y))
+                if len(y) and 100 * common >= over * (len(x) + len(y) - common):
+                    plain = jaccard.PartKeys(over, chain)
+                    hot = np.unique(plain([x], np.array([1]))[0]) if everything_common else None
+                    keys, parity, owners = jaccard.PartKeys(over, chain, hot)([x, y], np.array([1, 2]))
+                    near = [(k, p) for k, p, o in zip(keys.tolist(), parity.tolist(), owners.tolist(), strict=True) if o == 1]
+                    other: dict = {}
+                    for k, p, o in zip(keys.tolist(), parity.tolist(), owners.tolist(), strict=True):
+                        if o == 2:
+                            other.setdefault(k, []).append(p)
+                    assert any((p ^ q).bit_count() <= chain for k, p in near for q in other.get(k, []))
+
+
+def test_near_pairs_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        group = np.sort(rng.integers(0, 8, n))
+        parity = rng.integers(0, 1 << 9, n).astype(np.uint64)
+        side = np.where(group % 2 == 0, -1, rng.integers(0, 2, n))
+        top = {i: i for i in range(n)}
+
+        def find(x, top=top):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a in range(n):
+            for b in range(a):
+                if group[a] == group[b] and (side[a] < 0 or side[a] != side[b]) and (int(parity[a]) ^ int(parity[b])).bit_count() <= 2:
+                    top[max(find(a), find(b))] = min(find(a), find(b))
+        assert jaccard.near_pairs(group, parity, side, 2).tolist() == [find(i) for i in range(n)]
 
 
 def test_tree_prunes_and_finds(monkeypatch):
