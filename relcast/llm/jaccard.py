@@ -34,7 +34,7 @@ class JaccardParams:
     chunk: int = 256  # sets in a tree
     chain: int = 8  # parts whose parity lies beside a key
     piece: int = 2048  # rows of a key that are compared at once
-    sample: int = 64  # of so many documents one is looked at for common keys,
+    sample: int = 32  # of so many documents one is looked at for common keys,
     common_rows: int = 16  # which are those that so many documents of the sample have, if most of them differ,
     common_keys: int = 1 << 16  # and no more than so many; a key more or less changes the work, not the result
     broadcast_rows: int = 1_000_000  # candidates up to so many (of 24 bytes) are broadcast to the texts, more are joined by a shuffle
@@ -99,18 +99,20 @@ def shingle_sets(batch: list[bytes | None], size: int, powers: Powers) -> list[n
 class SizeClasses:
     """Classes of sizes [low, high]: two similar sets are in one class or in neighbouring ones.
 
-    A class deals the 64-bit space of tokens to ``parts`` equal ranges: D + 1, so that one range at least holds the same
-    tokens in both sets, and ``spare`` more, so that 1 + spare ranges do.
+    A class deals the 64-bit space of tokens to ``parts`` equal ranges, more than the tokens in which two of its sets may differ.
     """
 
-    def __init__(self, over: int, more: float = 0.1):
+    def __init__(self, over: int, more: float = 0.25):
         low = [1]
         while low[-1] < 1 << 40:
             low.append(100 * (100 * low[-1] // over) // over + 1)
         self.low, self.over = np.array(low, np.int64), over
-        needed = 2 * (self.low[1:] - 1) * (100 - over) // (100 + over) + 1
-        self.spare = np.where(needed > 1, np.ceil(needed * more), 0).astype(np.int64)
-        self.parts = needed + self.spare
+        needed = self.differ(2 * (self.low[1:] - 1)) + 1
+        self.parts = needed + np.where(needed > 1, np.ceil(needed * more), 0).astype(np.int64)
+
+    def differ(self, both: np.ndarray) -> np.ndarray:
+        """The most tokens in which similar sets differ that have ``both`` tokens together."""
+        return both * (100 - self.over) // (100 + self.over)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -119,23 +121,26 @@ class SizeClasses:
 class PartKeys:
     """Keys of sets: hashes of the tokens in a part, each with the parity bits of the ``chain`` parts that follow.
 
-    Say two similar sets differ in b[j] tokens of part j. The numbers 1 - b[j] are at most 1 and their sum is 1 + spare at
-    least, so by the cycle lemma there are 1 + spare parts from which every run of l parts (the last part is followed by the
-    first) has fewer than l differing tokens. Such a part is equal in both sets, and the following ``chain`` parts
+    Say two similar sets differ in b[j] tokens of part j of m, and in D in all. The numbers 1 - b[j] are at most 1 and their
+    sum is m - D, so by the cycle lemma there are m - D parts from which every run of l parts (the last part is followed by
+    the first) has fewer than l differing tokens. Such a part is equal in both sets, and the following ``chain`` parts
     differ in ``chain`` tokens at most, so their parities (bit t is odd if an odd number of tokens hash to t) differ in as
     many bits at most. That tells most sets that share a part by chance, without sending them.
 
-    A set leaves out its parts of fewer than q tokens, with the greatest q for which these are at most ``spare``: empty
-    and tiny parts, which sets have in common by chance. No pair is lost: of 1 + spare good parts, one has at least the
-    greater of the two q. Rows of keys in ``common`` (sorted), which many different sets have, become rows of
-    ``chain`` + 1 longer keys: the tokens of the following parts are dealt to so many shares, one of which is equal as well.
+    A set that can differ from its partners in d tokens sends its d + 1 largest parts (of equal size those of greater
+    hash). No pair is lost: the m - D good parts are in one order for both sets, each set leaves out at most m - 1 - D parts at
+    the low end of the order, and so both send the last of the good ones. Empty and tiny parts, which sets have in common by chance,
+    are seldom sent.
+
+    Rows of keys in ``common`` (sorted), which many different sets have, become rows of ``chain`` + 1 longer keys: the
+    tokens of the following parts are dealt to so many shares, one of which is equal as well.
     """
 
     def __init__(self, over: int, chain: int, common: np.ndarray | None = None):
         self.classes, self.chain, self.common = SizeClasses(over), chain, common if common is not None else np.empty(0, np.uint64)
 
-    def __call__(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, parity, id)"""
+    def __call__(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, parity, n, id); n is the size of the set. At most 4,096 sets."""
         sizes = np.array([len(s) for s in sets], np.int64)
         own, made = self.classes.of(np.maximum(sizes, 1)), []
         for up in (0, 1):
@@ -144,10 +149,10 @@ class PartKeys:
             if len(on):
                 made.append(self.rows(np.concatenate([sets[i] for i in on]), sizes[on], cls[on], ids[on]))
         if not made:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
-    def rows(self, flat: np.ndarray, sizes: np.ndarray, cls: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self, flat: np.ndarray, sizes: np.ndarray, cls: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """``flat`` has the sorted tokens of one set after the other, so the parts lie one after the other as well."""
         parts = self.classes.parts[cls]
         base, total = np.cumsum(parts) - parts, int(parts.sum())
@@ -160,25 +165,24 @@ class PartKeys:
         odd = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (value >> np.uint64(58)))])
         of = np.repeat(np.arange(len(sizes)), parts)
         number = np.arange(total) - base[of]
-        # the count at place ``spare`` in ascending order is the greatest q
-        top = int(counts.max()) + 1
-        least = (np.sort(of * top + counts) % top)[base + np.minimum(self.classes.spare[cls], parts - 1)]
-        kept = np.flatnonzero(counts >= least[of])
-        of, number = of[kept], number[kept]
-        spot = number.astype(np.uint64) + (cls[of].astype(np.uint64) << np.uint64(40))
-        key = mix((sums[ends[kept]] - sums[ends[kept] - counts[kept]]) ^ mix(spot + np.uint64(3)))
+        key = mix((sums[ends] - sums[ends - counts]) ^ mix(number.astype(np.uint64) + (cls[of].astype(np.uint64) << np.uint64(40)) + np.uint64(3)))
+        largest = np.minimum(100 * sizes // self.classes.over, self.classes.low[cls + 1] - 1)
+        left = np.maximum(parts - 1 - self.classes.differ(sizes + largest), 0)
+        order = np.argsort((of.astype(np.uint64) << np.uint64(51)) | (np.minimum(counts, 4095).astype(np.uint64) << np.uint64(39)) | (key >> np.uint64(25)))
+        kept = np.sort(order[number >= left[of]])
+        key, of, number = key[kept], of[kept], number[kept]
         ahead = np.minimum(self.chain, parts - 1)[of]
         stop = number + ahead
-        wrap = stop >= parts[of]
         first, last = base[of], base[of] + parts[of] - 1
         direct = odd[ends[np.minimum(kept + ahead, last)]] ^ odd[ends[kept]]
         around = odd[ends[first + np.maximum(stop - parts[of], 0)]] ^ odd[ends[first] - counts[first]]
-        parity = direct ^ np.where(wrap, around, np.uint64(0))
+        parity = direct ^ np.where(stop >= parts[of], around, np.uint64(0))
         if len(self.common) and len(hot := np.flatnonzero(self.common[np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)] == key)):
             more = self.longer(value, ends, counts, key[hot], kept[hot], ahead[hot], first[hot], last[hot])
             rest, shares = np.setdiff1d(np.arange(len(key)), hot), self.chain + 1
-            return np.concatenate([key[rest], more]), np.concatenate([parity[rest], np.repeat(parity[hot], shares)]), np.concatenate([ids[of[rest]], np.repeat(ids[of[hot]], shares)])
-        return key, parity, ids[of]
+            key, at = np.concatenate([key[rest], more]), np.concatenate([rest, np.repeat(hot, shares)])
+            parity, of = parity[at], of[at]
+        return key, parity, sizes[of], ids[of]
 
     def longer(self, value: np.ndarray, ends: np.ndarray, counts: np.ndarray, key: np.ndarray, part: np.ndarray, ahead: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """For each key ``chain`` + 1 keys, each with a share of the tokens in the following parts."""
@@ -195,22 +199,22 @@ class PartKeys:
         return mix(sums ^ mix(key[:, None] + np.arange(1, shares + 1, dtype=np.uint64)[None, :])).ravel()
 
 
-def thinned(keys: np.ndarray, parities: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key and parity once, with its least id; ids that had both in common get a key of their own with their least id.
+def thinned(keys: np.ndarray, parities: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key, parity and size once, with its least id; ids that had them in common get a key of their own with their least id.
 
     So a key that a third of the rows have leaves a batch as few rows. Common keys of a batch are joined to stars first.
     """
     if not len(keys):
-        return keys, parities, ids
+        return keys, parities, sizes, ids
     order = np.argsort(keys, kind="stable")
-    keys, parities, ids = keys[order], parities[order], ids[order]
+    keys, parities, sizes, ids = (x[order] for x in (keys, parities, sizes, ids))
     same = np.concatenate([[False], keys[1:] == keys[:-1]])
     several = same | np.concatenate([same[1:], [False]])
     if not several.any():
-        return keys, parities, ids
+        return keys, parities, sizes, ids
     some = np.flatnonzero(several)
-    some = some[np.lexsort((ids[some], parities[some], keys[some]))]
-    new = np.concatenate([[True], (keys[some][1:] != keys[some][:-1]) | (parities[some][1:] != parities[some][:-1])])
+    some = some[np.lexsort((ids[some], sizes[some], parities[some], keys[some]))]
+    new = np.concatenate([[True], np.any([x[some][1:] != x[some][:-1] for x in (keys, parities, sizes)], 0)])
     least = ids[some[new]][np.cumsum(new) - 1]
     on = ~new & (ids[some] != least)
     forest = Forest()
@@ -218,9 +222,9 @@ def thinned(keys: np.ndarray, parities: np.ndarray, ids: np.ndarray) -> tuple[np
         forest.join(a, b)
     pairs = np.array(forest.stars(), np.int64).reshape(-1, 2)
     link = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) * np.uint64(BASE))
-    kept = np.concatenate([np.flatnonzero(~several), some[new]])
-    none = np.zeros(len(link), np.uint64)
-    return np.concatenate([keys[kept], link, link]), np.concatenate([parities[kept], none, none]), np.concatenate([ids[kept], pairs[:, 0], pairs[:, 1]])
+    kept, none = np.concatenate([np.flatnonzero(~several), some[new]]), np.zeros(len(link), np.int64)
+    rows = (link, none.view(np.uint64), none, pairs[:, 0]), (link, none.view(np.uint64), none, pairs[:, 1])
+    return tuple(np.concatenate([x[kept], a, b]) for x, a, b in zip((keys, parities, sizes, ids), *rows, strict=True))
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
@@ -240,16 +244,16 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
 
 
 def part_rows(docs: DataFrame, params: JaccardParams, common: np.ndarray | None = None) -> DataFrame:
-    """(key, parity, id) of the sets of ``docs`` (id, text), in one pass."""
+    """(key, parity, n, id) of the sets of ``docs`` (id, text), in one pass."""
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, keys_of = Powers(), PartKeys(params.over, params.chain, common)
         for batch in batches(frames, "text", 4096, 4 << 20):
             made = thinned(*keys_of(shingle_sets(texts(batch, "text"), params.shingle, powers), batch.column("id").to_numpy()))
             for k in range(0, len(made[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in made], ["key", "parity", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in made], ["key", "parity", "n", "id"])
 
-    return docs.select("id", "text").mapInArrow(run, "key bigint, parity bigint, id bigint")
+    return docs.select("id", "text").mapInArrow(run, "key bigint, parity bigint, n bigint, id bigint")
 
 
 def common_keys(docs: DataFrame, params: JaccardParams) -> np.ndarray:
@@ -265,28 +269,31 @@ def common_keys(docs: DataFrame, params: JaccardParams) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in found.orderBy(F.col("n").desc(), "key").limit(params.common_keys).select("key").collect()], np.int64).view(np.uint64))
 
 
-def near_pairs(group: np.ndarray, parity: np.ndarray, side: np.ndarray, most: int) -> np.ndarray:
-    """For each row the place of a row that it hangs together with: rows of a group and of different sides whose parities differ in ``most`` bits at most.
+def near_pairs(group: np.ndarray, parity: np.ndarray, sizes: np.ndarray, side: np.ndarray, most: int, over: int) -> np.ndarray:
+    """For each row the place of the first row that it hangs together with.
 
-    ``group`` is sorted. Sides -1 are compared with each other. Rows are compared with the next, the one after it and
-    so on; groups that are one component already are left.
+    Rows of a group and of different sides hang together if their sizes can agree and their parities differ in no more
+    bits than ``most`` and than similar sets of their sizes have different tokens. ``group`` is sorted; sides -1 are
+    compared with each other. Rows are compared with the next, the one after it and so on; groups that are one component already are left.
     """
-    top, open_rows = np.arange(len(group)), np.arange(len(group))
+    top, at = np.arange(len(group)), np.arange(len(group))
     step = 1
-    while len(open_rows):
-        open_rows = open_rows[open_rows + step < len(group)]
-        open_rows = open_rows[group[open_rows + step] == group[open_rows]]
-        other = open_rows + step
-        near = (np.bitwise_count(parity[open_rows] ^ parity[other]) <= most) & ((side[open_rows] < 0) | (side[open_rows] != side[other])) & (top[open_rows] != top[other])
-        for a, b in zip(open_rows[near].tolist(), other[near].tolist(), strict=True):
+    while len(at):
+        at = at[at + step < len(group)]
+        at = at[group[at + step] == group[at]]
+        other = at + step
+        both = sizes[at] + sizes[other]
+        near = np.bitwise_count(parity[at] ^ parity[other]) <= np.minimum(both * (100 - over) // (100 + over), most)
+        near &= (100 * np.minimum(sizes[at], sizes[other]) >= over * np.maximum(sizes[at], sizes[other])) & ((side[at] < 0) | (side[at] != side[other])) & (top[at] != top[other])
+        for a, b in zip(at[near].tolist(), other[near].tolist(), strict=True):
             a, b = root(top, a), root(top, b)
             top[max(a, b)] = min(a, b)
         while not np.array_equal(up := top[top], top):
             top = up
-        if step & (step - 1) == 0 and len(open_rows):
+        if step & (step - 1) == 0 and len(at):
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             apart = np.minimum.reduceat(top, starts) != np.maximum.reduceat(top, starts)
-            open_rows = open_rows[apart[np.searchsorted(starts, open_rows, side="right") - 1]]
+            at = at[apart[np.searchsorted(starts, at, side="right") - 1]]
         step += 1
     return top
 
@@ -300,38 +307,40 @@ def root(top: np.ndarray, at: int) -> int:
 def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
     """(a, b): edges that join all sets of ``docs`` (id, text) that may be similar.
 
-    One exchange of (key, parity, id) rows; the few keys that several rows have are written. The rows of a key that has
+    One exchange of (key, parity, n, id) rows; the few keys that several rows have are written. The rows of a key that has
     too many for one task are compared by pairs of pieces.
     """
     rows = part_rows(docs, params, common_keys(docs, params))
     shared = cut(rows.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1"))
-    pieces = F.ceil(F.col("k") / params.piece)
-    met = shared.select("key", "parity", "id", F.pmod(F.xxhash64("parity"), pieces).alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("d"))
-    met = met.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "parity", "id", F.when(F.col("c") == F.col("d"), -1).otherwise((F.col("c") > F.col("d")).cast("int")).alias("side"))
-    ordered = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "parity", "id")
+    pieces, facts = F.ceil(F.col("k") / params.piece), ["parity", "n", "id"]
+    met = shared.select("key", *facts, F.pmod(F.xxhash64("parity"), pieces).alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("d"))
+    met = met.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *facts, F.when(F.col("c") == F.col("d"), -1).otherwise((F.col("c") > F.col("d")).cast("int")).alias("side"))
+    names = ["key", "i", "j", *facts]
+    ordered = met.repartition("key", "i", "j").sortWithinPartitions(*names)
 
     def edges(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, i, j, parity, ids, side = held
-        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (parity[1:] != parity[:-1])])
+        key, i, j, parity, sizes, ids, side = held
+        differs = lambda *columns: np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)])
+        group = np.cumsum(differs(key, i, j))
+        new = differs(group, parity, sizes)
         first = np.flatnonzero(new)
-        top = first[near_pairs(group[first], parity[first].view(np.uint64), side[first], params.chain)]
+        top = first[near_pairs(group[first], parity[first].view(np.uint64), sizes[first], side[first], params.chain, params.over)]
         a, b = ids, ids[top[np.cumsum(new) - 1]]
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names = None, ("key", "i", "j", "parity", "id", "side")
+        held = None
         for frame in frames:
-            new = [frame.column(name).to_numpy().astype(np.int64) for name in names]
+            new = [frame.column(name).to_numpy().astype(np.int64) for name in (*names, "side")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) < 100_000:
                 continue
+            # the last key goes on in the next frame
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
-            at = int(last[-1]) + 1 if len(last) else 0
-            if at:
-                yield edges([x[:at] for x in held])
-                held = [x[at:] for x in held]
+            if len(last):
+                yield edges([x[: last[-1] + 1] for x in held])
+                held = [x[last[-1] + 1 :] for x in held]
         if held is not None and len(held[0]):
             yield edges(held)
 

@@ -469,7 +469,7 @@ def test_similar_sets_always_share_a_part(everything_common):
                 if len(y) and 100 * common >= over * (len(x) + len(y) - common):
                     plain = jaccard.PartKeys(over, chain)
                     hot = np.unique(plain([x], np.array([1]))[0]) if everything_common else None
-                    keys, parity, owners = jaccard.PartKeys(over, chain, hot)([x, y], np.array([1, 2]))
+                    keys, parity, _, owners = jaccard.PartKeys(over, chain, hot)([x, y], np.array([1, 2]))
                     near = [(k, p) for k, p, o in zip(keys.tolist(), parity.tolist(), owners.tolist(), strict=True) if o == 1]
                     other: dict = {}
                     for k, p, o in zip(keys.tolist(), parity.tolist(), owners.tolist(), strict=True):
@@ -484,7 +484,7 @@ def test_near_pairs_by_brute_force():
         n = int(rng.integers(1, 60))
         group = np.sort(rng.integers(0, 8, n))
         parity = rng.integers(0, 1 << 9, n).astype(np.uint64)
-        side = np.where(group % 2 == 0, -1, rng.integers(0, 2, n))
+        side, sizes = np.where(group % 2 == 0, -1, rng.integers(0, 2, n)), rng.integers(5, 12, n)
         top = {i: i for i in range(n)}
 
         def find(x, top=top):
@@ -494,9 +494,9 @@ def test_near_pairs_by_brute_force():
 
         for a in range(n):
             for b in range(a):
-                if group[a] == group[b] and (side[a] < 0 or side[a] != side[b]) and (int(parity[a]) ^ int(parity[b])).bit_count() <= 2:
+                if group[a] == group[b] and (side[a] < 0 or side[a] != side[b]) and (int(parity[a]) ^ int(parity[b])).bit_count() <= min(2, (sizes[a] + sizes[b]) // 9) and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]):
                     top[max(find(a), find(b))] = min(find(a), find(b))
-        assert jaccard.near_pairs(group, parity, side, 2).tolist() == [find(i) for i in range(n)]
+        assert jaccard.near_pairs(group, parity, sizes, side, 2, 80).tolist() == [find(i) for i in range(n)]
 
 
 def test_tree_prunes_and_finds(monkeypatch):
