@@ -1,16 +1,15 @@
 """Mixing sources to target weights (DataFrame operations only).
 
-Each source's documents, in a hashed order, are one stream of words that is packed into blocks of fixed length. Output
-shards hold a fixed number of slots; a shard's counts by source are a multinomial draw (the whole part of every expected
-count is given, the rest is drawn, which keeps the mean of a plain multinomial with less spread). A source's slots are
-numbered through all shards, and slot j takes block perm(j mod blocks) of epoch j div blocks, where perm is a
-pseudorandom permutation of the block indices ("swap or not" rounds, which work on any number of blocks). Blocks
-are joined by index with the documents that lie in them.
+Each source's documents, in a hashed order, are one stream of words that is packed into blocks of fixed length. Every
+source has as many slots of the mix as its target asks for, and a hash deals each slot to an output shard: the counts of a source
+in the shards are one multinomial draw that adds up to its target, and those of a shard, given its size, are a draw by the target
+weights. (Draws of all slots by weight would miss the target of a source of n slots by a share of about 1 / sqrt(n).) Slot j of
+a source takes block perm(j mod blocks) of epoch j div blocks, where perm is a pseudorandom permutation of the source's block
+indices ("swap or not" rounds, which work on any number of blocks). Blocks are joined by index with the documents that lie in them.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +26,10 @@ class MixParams:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # of the sources by code point, null last, repeating
     max_epochs: int = 3  # no source gives more than so many times its words
     block_words: int = 64
-    shard_slots: int = 4096
+    shard_slots: int = 4096  # on average
     rounds: int = 24  # of the permutation
     task_slots: int = 50_000  # slots that a task permutes
     seed: int = 20240607
-    max_sources: int = 10_000  # the table of sources is held by the driver; more raise an error
 
 
 def source_key(source: Column) -> Column:
@@ -59,57 +57,40 @@ def source_targets(sized: DataFrame, params: MixParams) -> DataFrame:
     return levels.withColumn("final", level).select("skey", "sidx", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def permuted(index: Column, blocks: Column, key: Column, params: MixParams) -> Column:
-    """The place of ``index`` in a pseudorandom permutation of 0 to ``blocks`` - 1 that ``key`` chooses."""
+def round_keys(key: Column, size: Column, rounds: int) -> Column:
+    """Numbers below ``size``, one for each round of a permutation that ``key`` (a bigint) chooses."""
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(r)), size) for r in range(rounds)])
 
-    def step(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.xxhash64(F.lit(params.seed), key, r) % blocks - x, blocks)
-        return F.when(F.xxhash64(F.lit(params.seed + 1), key, r, F.greatest(x, mirror)) % 2 == 0, x).otherwise(mirror)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(params.rounds)), index, step)
+def permuted(index: Column, size: Column, keys: Column) -> Column:
+    """The place of ``index`` in a pseudorandom permutation of 0 to ``size`` - 1: in each round it may swap with its mirror."""
+
+    def step(x: Column, key: Column) -> Column:
+        mirror = F.pmod(key - x, size)
+        return F.when(F.xxhash64(key, F.greatest(x, mirror)).bitwiseAND(F.lit(1).cast("bigint")) == 0, x).otherwise(mirror)
+
+    return F.aggregate(keys, index, step)
 
 
 def draw_slots(sources: DataFrame, params: MixParams) -> DataFrame:
     """(shard, sidx, epoch, block): what each slot of the mix takes.
 
-    ``sources`` has sidx, source_size and target. The driver holds a row for each source (at most ``max_sources``).
+    ``sources`` has sidx, source_size and target, a row for each source; the driver learns the number of slots only. Few
+    rows become many slots, so runs of slots are dealt out first.
     """
-    spark = sources.sparkSession
-    held = sources.where("source_size > 0 AND target > 0").orderBy("sidx").limit(params.max_sources + 1).collect()
-    if len(held) > params.max_sources:
-        raise ValueError(f"more than {params.max_sources} sources")
-    blocks = [-(-r["source_size"] // params.block_words) for r in held]
-    wish = [n * r["target"] / r["source_size"] for n, r in zip(blocks, held, strict=True)]
-    slots = round(sum(wish))
-    runs = [(0, slots // params.shard_slots, params.shard_slots), (slots // params.shard_slots, -(-slots // params.shard_slots), slots % params.shard_slots)]
-    counted = spark.range(0).selectExpr("id AS shard", "0 AS s", "id AS n")
-    for first, end, size in runs:
-        if end == first:
-            continue
-        mean = [size * w / sum(wish) for w in wish]
-        whole = [math.floor(m + 1e-9) for m in mean]
-        rest = size - sum(whole)
-        given = spark.range(first * len(held), end * len(held)).select((F.col("id") / len(held)).cast("bigint").alias("shard"), (F.col("id") % len(held)).cast("int").alias("s"))
-        given = given.withColumn("n", F.element_at(F.array(*[F.lit(n).cast("bigint") for n in whole]), F.col("s") + 1))
-        counted = counted.unionByName(given)
-        if rest:
-            part, upto = [max(0.0, m - n) for m, n in zip(mean, whole, strict=True)], []
-            for p in part:
-                upto.append((upto[-1] if upto else 0.0) + p / sum(part))
-            drawn = spark.range(first * rest, end * rest).select((F.col("id") / rest).cast("bigint").alias("shard"), (F.pmod(F.xxhash64(F.lit(params.seed + 2), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("u"))
-            passed = F.size(F.filter(F.array(*[F.lit(x) for x in upto[:-1]]), lambda c: c <= F.col("u")))
-            counted = counted.unionByName(drawn.select("shard", passed.alias("s"), F.lit(1).cast("bigint").alias("n")))
-    counts = counted.groupBy("shard", "s").agg(F.sum("n").alias("n")).withColumn("part", (F.col("shard") / PARTS).cast("bigint"))
-    counts = counts.withColumn("within", F.sum("n").over(Window.partitionBy("s", "part").orderBy("shard")) - F.col("n"))
-    parts = counts.groupBy("s", "part").agg(F.sum("n").alias("all"))
-    parts = parts.select("s", "part", (F.sum("all").over(Window.partitionBy("s").orderBy("part")) - F.col("all")).alias("start"))
-    ids = F.array(*[F.lit(r["sidx"]) for r in held]) if held else F.array(F.lit(0))
-    sizes = F.array(*[F.lit(n).cast("bigint") for n in blocks]) if held else F.array(F.lit(0).cast("bigint"))
-    # few rows become many slots, so they are dealt out by the number of slots
-    runs = counts.join(parts, ["s", "part"]).where("n > 0").repartition(1 + slots // params.task_slots, "s", "shard")
-    numbered = runs.select("shard", F.element_at(ids, F.col("s") + 1).alias("sidx"), F.element_at(sizes, F.col("s") + 1).alias("blocks"), F.explode(F.sequence(F.col("start") + F.col("within"), F.col("start") + F.col("within") + F.col("n") - 1)).alias("j"))
-    numbered = numbered.where(F.col("j") < params.max_epochs * F.col("blocks")).withColumn("epoch", F.floor(F.col("j") / F.col("blocks")).cast("bigint"))
-    return numbered.select("shard", "sidx", "epoch", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.struct("sidx", "epoch"), params).alias("block"))
+    wish = sources.where("source_size > 0 AND target > 0").withColumn("blocks", F.ceil(F.col("source_size") / params.block_words))
+    count = F.least(F.round(F.col("blocks") * F.col("target") / F.col("source_size")).cast("bigint"), params.max_epochs * F.col("blocks"))
+    wish = wish.select("sidx", "blocks", count.alias("n")).where("n > 0")
+    slots = wish.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = -(-slots // params.shard_slots)
+    epochs = wish.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 1) div blocks"))))
+    epochs = epochs.withColumn("m", F.least(F.col("blocks"), F.col("n") - F.col("epoch") * F.col("blocks")))
+    runs = epochs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(params.shard_slots).cast("bigint"))))
+    runs = runs.repartition(1 + slots // params.task_slots, "sidx", "epoch", "from")
+    runs = runs.withColumn("key", F.xxhash64(F.lit(params.seed), "sidx", "epoch")).withColumn("keys", round_keys(F.col("key"), F.col("blocks"), params.rounds))
+    dealt = runs.select("sidx", "epoch", "blocks", "key", "keys", F.explode(F.sequence("from", F.least(F.col("from") + params.shard_slots, F.col("m")) - 1)).alias("j"))
+    shard = F.pmod(F.xxhash64(F.lit(params.seed + 2), "key", "j"), F.lit(max(1, shards)))
+    return dealt.select(shard.alias("shard"), "sidx", "epoch", permuted(F.col("j"), F.col("blocks"), F.col("keys")).alias("block"))
 
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -117,17 +98,20 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str
 
     A null or empty text has size 0 and nothing is taken of it; null sources are one source, the last. Repeated rows are
     documents of their own. Other columns are left out, so their names can't clash. An empty table gives an empty
-    result. Reruns agree: places come from hashes of the ids. Nothing is taken more than ``max_epochs`` times. The
-    sizes are counted once and written; a large source is summed in parts.
+    result. Reruns agree: places come from hashes of the rows. Nothing is taken more than ``max_epochs`` times. The
+    sizes are counted once and written; a large source is summed in parts, and equal rows are placed as one run.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    sized = cut(sized.withColumn("skey", source_key(F.col("source"))).withColumn("h", F.xxhash64(F.lit(params.seed), "id")).withColumn("part", F.pmod("h", F.lit(PARTS))))
-    sources = cut(source_targets(sized, params))
-    sums = sized.groupBy("skey", "part").agg(F.sum("size").alias("all"))
+    text = F.col(text_col)
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(params.seed), F.col(id_col), text).alias("h"))
+    sized = sized.groupBy("id", "source", "size", "h").agg(F.count("*").alias("copies"), (F.count("*") * F.col("size")).alias("words"))
+    sized = cut(sized.withColumn("skey", source_key(F.col("source"))).withColumn("part", F.pmod("h", F.lit(PARTS))))
+    sources = cut(source_targets(sized.select("source", "skey", F.col("words").alias("size")), params))
+    sums = sized.groupBy("skey", "part").agg(F.sum("words").alias("all"))
     starts = sums.select("skey", "part", (F.sum("all").over(Window.partitionBy("skey").orderBy("part")) - F.col("all")).alias("start")).join(sources, "skey")
     order = Window.partitionBy("skey", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("before", F.sum("size").over(order) - F.col("size")).join(starts, ["skey", "part"])
-    placed = placed.select("id", "size", "sidx", "source_size", "target", (F.col("start") + F.col("before")).alias("at"))
+    placed = sized.withColumn("before", F.sum("words").over(order) - F.col("words")).join(starts, ["skey", "part"])
+    placed = placed.select("id", "size", "sidx", "source_size", "target", (F.col("start") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
+    placed = placed.select("id", "size", "sidx", "source_size", "target", (F.col("first") + F.col("copy") * F.col("size")).alias("at"))
     width = F.lit(params.block_words)
     inside = placed.where("size > 0").select("sidx", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / width).cast("bigint"), F.floor((F.col("at") + F.col("size") - 1) / width).cast("bigint"))).alias("block"))
     inside = inside.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * width) - F.greatest(F.col("at"), F.col("block") * width))

@@ -290,7 +290,8 @@ def test_targets(spark, sizes):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(spark, n):
-    got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit("key"), mixing.MixParams()).alias("p")).collect()]
+    size, key = F.lit(n).cast("bigint"), F.lit(5).cast("bigint")
+    got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), size, mixing.round_keys(key, size, mixing.MixParams().rounds)).alias("p")).collect()]
     assert sorted(got) == list(range(n)) and (n < 64 or got != list(range(n)))
 
 
@@ -308,6 +309,54 @@ def test_mix(spark):
         assert sum(t) == pytest.approx(target, rel=0.08, abs=70)
 
 
+def test_slots(spark):
+    """Targets are met over all shards; a source's counts spread like multinomial ones; an epoch takes each block once."""
+    sources = spark.createDataFrame([(0, 64_000, 128_000.0), (1, 640_000, 500_000.0), (2, 63, 60.0), (3, 0, 0.0)], "sidx int, source_size bigint, target double")
+    params = mixing.MixParams(shard_slots=100)
+    got = mixing.draw_slots(sources, params).collect()
+    by_source = {k: sum(r.sidx == k for r in got) for k in range(4)}
+    assert by_source in ({0: 2000, 1: 7812, 2: 1, 3: 0}, {0: 2000, 1: 7813, 2: 1, 3: 0})
+    assert sorted((r.epoch, r.block) for r in got if r.sidx == 0) == [(e, b) for e in (0, 1) for b in range(1000)]
+    shards = np.bincount([r.shard for r in got if r.sidx == 0], minlength=98)[:98]
+    assert len(set(r.shard for r in got)) == 99 and 0.6 < shards.var() / (2000 / 99) < 1.5 and abs(shards.mean() - 2000 / 99) < 1
+
+
+def test_many_sources(spark):
+    """No number of sources is too large, and taken is what a plain count over the drawn blocks gives."""
+    random.seed(21)
+    rows = [(i, "w " * random.choice([1, 30, 200]), "en", f"s{random.randrange(3000)}") for i in range(9000)]
+    made = docs(spark, rows)
+    got = mixing.mix_documents(made).join(made.select("doc_id", "source"), "doc_id").collect()
+    taken: dict = {}
+    for r in got:
+        at = taken.setdefault(r.source, [r.target, 0])
+        at[1] += r.taken
+    assert len(got) == 9000 and all(abs(t - n) <= 3 * 64 for t, n in taken.values())
+
+
+def test_taken_by_brute_force(spark):
+    """Blocks, slots and documents counted one by one from the drawn slots and a plain order of the documents."""
+    random.seed(22)
+    rows = [(i, " ".join("w" * (1 + k % 3) for k in range(random.choice([0, 3, 70, 400]))), "en", random.choice(["a", "b"])) for i in range(150)] + [(7, "same text", "en", "a")] * 5
+    made, params = docs(spark, rows), mixing.MixParams()
+    hashed = made.select("doc_id", "source", F.xxhash64(F.lit(params.seed), "doc_id", "text").alias("h"), F.size(F.split(F.trim("text"), " ")).alias("n"), "text").collect()
+    sources = spark.createDataFrame([(k, sum(len(t.split()) for _, t, _, s in rows if s == name), 0.0) for k, name in enumerate("ab")], "sidx int, source_size bigint, target double")
+    got = mixing.mix_documents(made)
+    target = {r.source_size: r.target for r in got.collect()}
+    drawn = mixing.draw_slots(sources.withColumn("target", F.element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col("source_size"))), params).collect()
+    want = []
+    for k, name in enumerate("ab"):
+        stream = []
+        for r in sorted((r for r in hashed if r.source == name), key=lambda r: (r.h % mixing.PARTS, r.h)):
+            stream += [len(want)] * len(r.text.split())
+            want.append([r.doc_id, len(r.text.split()), 0])
+        for slot in drawn:
+            if slot.sidx == k:
+                for row in stream[slot.block * 64 : slot.block * 64 + 64]:
+                    want[row][2] += 1
+    assert sorted((r.doc_id, r["size"], r.taken) for r in got.collect()) == sorted(map(tuple, want))
+
+
 def test_mix_edge_cases(spark, odd, none):
     assert mixing.mix_documents(odd).count() == len(ODD) and mixing.mix_documents(none).count() == 0
     assert [tuple(r) for r in mixing.mix_documents(docs(spark, [(1, None, "en", "a")])).collect()] == [(1, 0, 0, 0.0, 0)]
