@@ -3,17 +3,15 @@
 A text is split by the tokenizer's pattern. Words that the worker has not met yet go to DuckDB, where token-position rows
 join the merge table (left token, right token, rank); each step of a recursive query contracts the leftmost pair of least
 rank of each word, until no word has a pair. Decoding joins the tokens with the vocabulary and aggregates their bytes in
-order. A word of more than ``LONG`` bytes would take as many steps as it has bytes, each over all
-of its rows; such words are contracted by the same rule with a heap instead.
+order. A word of more than ``LONG`` bytes would take very many steps, so such words have a query over rows of their own, in
+which a step contracts all pairs of least rank, from left to right, up to the first that gives rise to a pair of less rank.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-import tempfile
 from collections.abc import Callable
 
 import duckdb
@@ -49,6 +47,34 @@ WITH RECURSIVE step(w, ids, done) AS (
 )
 SELECT w, ids FROM step WHERE done
 """
+#: Rows (step, word, position, token), for ``$steps`` steps at most. Of pairs that overlap, every other one from the left is
+#: contracted; ``wary`` are pairs whose token has an early pair (one of less rank than the token) with a neighbour.
+ENCODE_LONG = """
+WITH RECURSIVE step(n, w, p, id) AS (
+  SELECT 0, w, p, id FROM start
+  UNION ALL
+  SELECT n + 1, w, p, id
+  FROM (
+    SELECT n, w, p, CASE WHEN hit THEN k ELSE id END AS id, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY p), false) AS gone
+    FROM (
+      SELECT *, best AND p <= coalesce(min(CASE WHEN best AND wary THEN p END) OVER (PARTITION BY w), p)
+        AND (p - max(CASE WHEN NOT best THEN p ELSE 0 END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS hit
+      FROM (
+        SELECT n, w, t.id, p, min(rank) OVER (PARTITION BY w) AS k, coalesce(rank = min(rank) OVER (PARTITION BY w), false) AS best,
+          e.l IS NOT NULL OR f.l IS NOT NULL OR g.l IS NOT NULL AS wary
+        FROM (
+          SELECT n, w, id, row_number() OVER place AS p, lag(id) OVER place AS before, lead(id) OVER place AS next, lead(id, 2) OVER place AS after
+          FROM step WHERE n < $steps WINDOW place AS (PARTITION BY w ORDER BY p)) t
+        LEFT JOIN merges m ON m.l = t.id AND m.r = t.next
+        LEFT JOIN early e ON e.l = t.before AND e.r = m.rank
+        LEFT JOIN early f ON f.l = m.rank AND f.r = t.after
+        LEFT JOIN early g ON g.l = m.rank AND g.r = m.rank)
+      WHERE k IS NOT NULL))
+  WHERE NOT gone)
+SELECT s.w, s.p, s.id, s.n FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.w, s.p
+"""
+#: Rows that a query over rows may make in all its steps, unless one step makes more.
+LONG_ROWS = 1_000_000
 DECODE = "SELECT d, list(bytes ORDER BY p) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
 
 
@@ -68,9 +94,10 @@ class Codec:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.merges = {(a, b): c for a, b, c in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
+        early = rank < np.maximum(left, right)
+        self._table("early", pa.table({"l": left[early], "r": right[early]}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -78,29 +105,32 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arriving")
         self.db.unregister("arriving")
 
-    def contract(self, word: bytes) -> list[int]:
-        """The leftmost pair of least rank, again and again; a heap has the pairs, links lead over contracted places."""
-        ids = [int(self.single[b]) for b in word]
-        before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.merges.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != left or j >= len(ids) or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for a in (before[i], i):
-                b = after[a] if a >= 0 else len(ids)
-                if b < len(ids) and (r := self.merges.get((ids[a], ids[b]))) is not None:
-                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
-        return [x for x in ids if x >= 0]
+    def contracted_long(self, words: list[bytes]) -> list[bytes]:
+        """As ``contracted``, by the query over rows; words that aren't done after its steps go on in the next query."""
+        out = [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": np.concatenate([np.arange(n) for n in sizes]), "id": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        while rows.num_rows:
+            steps = max(1, LONG_ROWS // rows.num_rows)
+            self._table("start", rows)
+            got = self.db.sql(ENCODE_LONG, params={"steps": steps}).to_arrow_table()
+            n, w, ids = (got.column(c).to_numpy() for c in ("n", "w", "id"))
+            ends = np.searchsorted(w, np.arange(len(words) + 1))
+            for k in np.unique(w[n < steps]).tolist():
+                out[k] = ids[ends[k] : ends[k + 1]].astype("<u4").tobytes()
+            rows = got.filter(pa.array(n == steps)).select(["w", "p", "id"])
+        return out
 
     def contracted(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The tokens of words, as little-endian unsigned 32-bit integers."""
-        out = {w: np.array(self.contract(w), "<u4").tobytes() for w in words if len(w) > LONG}
+        out, held, rows = {}, [], 0
+        for w in [w for w in words if len(w) > LONG]:
+            if held and rows + len(w) > LONG_ROWS // 20:
+                out.update(zip(held, self.contracted_long(held), strict=True))
+                held, rows = [], 0
+            held, rows = [*held, w], rows + len(w)
+        if held:
+            out.update(zip(held, self.contracted_long(held), strict=True))
         short = [w for w in words if len(w) <= LONG]
         for k in range(0, len(short), 50_000):
             part = short[k : k + 50_000]

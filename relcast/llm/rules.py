@@ -10,15 +10,17 @@ passes and the rule rejects nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import operator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import beside, cut, per_text
 
 SPACE = b"\x20\t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -100,13 +102,44 @@ def step_of(rule: str, steps: int) -> Column:
     return F.when(F.col(under) > 0, F.least(F.floor(F.col(over) * steps / F.col(under)), F.lit(steps))).otherwise(0).cast("int")
 
 
+def stirling_rest(n: int) -> float:
+    """log n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    x = 1.0 / n
+    return x * (1 / 12 - x * x * (1 / 360 - x * x * (1 / 1260 - x * x * (1 / 1680 - x * x / 1188))))
+
+
+def deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where x is near the mean."""
+    d = (x - mean) / mean
+    if abs(d) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    # (1 + d) log(1 + d) - d = d^2 / 2 - d^3 / 6 + d^4 / 12 - ...
+    return mean * math.fsum((-1) ** j * d**j / (j * (j - 1)) for j in range(2, 24))
+
+
+def exactly(k: int, n: int, p: float) -> float:
+    """Chance of k of n, each with chance p, by Loader's expansion: the logarithms of factorials don't cancel each other."""
+    if k in (0, n):
+        return math.exp(n * (math.log1p(-p) if k == 0 else math.log(p)))
+    log = stirling_rest(n) - stirling_rest(k) - stirling_rest(n - k) - deviance(k, n * p) - deviance(n - k, n * (1 - p))
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+
+
 def at_most(k: int, n: int, p: float) -> float:
-    """Chance of at most k of n, each with chance p; summed from the largest term, exactly as floats allow."""
+    """Chance of at most k of n, each with chance p: all terms down from k (or up from k + 1) that count in a float."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, max(-1, k - 2000), -1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    down = k <= n * p
+    at, step = (k, -1) if down else (k + 1, 1)
+    total, term, width = 0.0, exactly(at, n, p), 1 << 14
+    while 0 <= at <= n and term > total * 1e-18:
+        i = np.arange(at, max(-1, at - width) if down else min(n + 1, at + width), step, dtype=np.float64)
+        ratio = i * (1 - p) / ((n - i + 1) * p) if down else (n - i) * p / ((i + 1) * (1 - p))
+        terms = term * np.concatenate([[1.0], np.cumprod(ratio)])
+        total, term, at = total + math.fsum(terms[:-1]), float(terms[-1]), at + step * len(i)
+    return min(1.0, total) if down else max(0.0, 1.0 - total)
 
 
 def certified(rejected: list[int], total: int, risk: float, error: float) -> int | None:
@@ -123,25 +156,31 @@ def certified(rejected: list[int], total: int, risk: float, error: float) -> int
     return found
 
 
-def fit_cutoffs(features: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> dict[str, dict[str, int]]:
-    """Cutoffs in steps by stratum and rule.
+def fit_cutoffs(features: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
+    """(stratum, rule, cutoff): cutoffs in steps, where one is certified.
 
-    ``features`` has id, stratum and FEATURES, ``labels`` id and good (boolean). All labelled rows count; the driver gets
-    counts by stratum, rule and step only. Documents that fail the base rules are no evidence about the others.
+    ``features`` has id, stratum and FEATURES, ``labels`` id and good (boolean). All labelled rows count; a task gets the
+    counts by step of a stratum and rule, the driver the number of these. Documents that fail the base rules are no
+    evidence about the others.
     """
     good = features.where(~base_failed()).join(labels.where("good").select("id").distinct(), "id")
     steps = F.array(*[F.struct(F.lit(rule).alias("rule"), step_of(rule, params.steps).alias("step")) for rule in RULES])
-    counts = good.select("stratum", F.inline(steps)).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n")).collect()
-    tables: dict[tuple[str, str], list[int]] = {}
-    for r in counts:
-        tables.setdefault((r["stratum"], r["rule"]), [0] * (params.steps + 1))[r["step"]] += r["n"]
-    out: dict[str, dict[str, int]] = {}
-    for (stratum, rule), by_step in tables.items():
-        rejected = np.cumsum(by_step[::-1])[::-1].tolist()
-        cutoff = certified(rejected, rejected[0], params.risk / len(RULES), params.error / len(tables))
-        if cutoff is not None:
-            out.setdefault(stratum, {})[rule] = cutoff
-    return out
+    counts = good.select("stratum", F.inline(steps)).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n"))
+    tables = cut(counts.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("counts")))
+    risk, error = params.risk / len(RULES), params.error / max(1, tables.count())
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            cutoffs = []
+            for entries in frame.column("counts").to_pylist():
+                by_step = [0] * (params.steps + 1)
+                for step, n in entries:
+                    by_step[step] = n
+                rejected = np.cumsum(by_step[::-1])[::-1].tolist()
+                cutoffs.append(certified(rejected, rejected[0], risk, error))
+            yield pa.RecordBatch.from_arrays([frame.column("stratum"), frame.column("rule"), pa.array(cutoffs, pa.int32())], ["stratum", "rule", "cutoff"])
+
+    return tables.mapInArrow(run, "stratum string, rule string, cutoff int").where("cutoff IS NOT NULL")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", label_id: str = "doc_id") -> DataFrame:
@@ -155,11 +194,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleP
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n")).alias("stratum"), F.col(text_col).alias("text"))
     features = cut(measured(keyed, ["id", "stratum"]))
     known = labels.select(F.col(label_id).alias("id"), (F.col(label_col) == 1).alias("good")).dropna()
-    cutoffs = fit_cutoffs(features, known, params)
-    fires = F.lit(False)
-    for stratum, by_rule in sorted(cutoffs.items()):
-        hit = F.lit(False)
-        for rule, cutoff in sorted(by_rule.items()):
-            hit = hit | (step_of(rule, params.steps) >= cutoff)
-        fires = fires | ((F.col("stratum") == stratum) & hit)
-    return features.select(F.col("id").alias(id_col), *FEATURES, base_failed().alias("base_failed"), (~base_failed() & ~fires).alias("kept"))
+    cutoffs = cut(fit_cutoffs(features, known, params).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    fires = reduce(operator.or_, [step_of(rule, params.steps) >= F.element_at("cutoffs", F.lit(rule)) for rule in RULES])
+    judged = beside(features, cutoffs, "stratum", "left")
+    return judged.select(F.col("id").alias(id_col), *FEATURES, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(fires, F.lit(False))).alias("kept"))

@@ -250,10 +250,16 @@ def test_bpe_equals_the_library(own, reference):
     assert own.decode([[b"".join(r)] for r in runs]) == [t.encode() for t in texts]
 
 
-def test_recursion_equals_the_heap(own):
-    words = [bytes(random.choice(b"abcdeth ") for _ in range(n)) for n in range(1, bpe.LONG + 1)]
-    got = own.contracted(words)
-    assert all(np.frombuffer(got[w], "<u4").tolist() == own.contract(w) for w in words)
+def test_words_of_any_length(own, reference, monkeypatch):
+    random.seed(61)
+    letters = [b"abcdeth", b"x", b"ab", "日本語é".encode()]
+    words = [bytes(random.choice(random.choice(letters)) for _ in range(n)) for n in [*range(1, 200, 9), 500, 500]] + [b"x" * 501, b"aab" * 900, b"a" * 20_000, bytes(random.choice(b"abcdeth") for _ in range(20_000))]
+    for rows in (bpe.LONG_ROWS, 6000):
+        monkeypatch.setattr(bpe, "LONG_ROWS", rows)
+        got = own.contracted(words if rows > 6000 else words[20:-2])
+        assert all(np.frombuffer(ids, "<u4").tolist() == reference._core_bpe.encode_single_piece(w) for w, ids in got.items())
+    monkeypatch.setattr(bpe, "LONG", 0)
+    assert all(np.frombuffer(ids, "<u4").tolist() == reference._core_bpe.encode_single_piece(w) for w, ids in own.contracted(list(own.ranks)[:5_000]).items())
 
 
 def test_bpe_documents(spark, odd, none, reference):
@@ -390,7 +396,56 @@ def test_exact_binomial():
 
     for k, n, p in ((0, 20, 0.1), (3, 50, 0.02), (7, 30, 0.5)):
         assert rules.at_most(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    assert rules.at_most(5, 5, 0.1) == 1.0
+    assert rules.at_most(5, 5, 0.1) == 1.0 and rules.at_most(0, 3, 0.5) == pytest.approx(0.125) and rules.at_most(9, 10, 0.9) == pytest.approx(1 - 0.9**10)
+
+
+@pytest.mark.parametrize("n", [10**6, 10**9, 2 * 10**9])
+def test_binomial_of_very_many(n):
+    """Against the normal law with its first correction, from three deviations under the mean to the mean."""
+    from math import erf, exp, pi, sqrt
+
+    p = 0.02 / 6
+    sd = sqrt(n * p * (1 - p))
+    for z in (-3.0, -1.0, 0.0):
+        k = int(n * p + z * sd)
+        x = (k + 0.5 - n * p) / sd
+        want = (1 + erf(x / sqrt(2))) / 2 - (1 - 2 * p) / (6 * sd) * (x * x - 1) * exp(-x * x / 2) / sqrt(2 * pi)
+        assert rules.at_most(k, n, p) == pytest.approx(want, rel=0.02 if n < 10**9 else 0.001)
+
+
+def test_verdicts_by_brute_force(spark):
+    """Cutoffs that fire: strata with many labels, held against cutoffs found from plain counts."""
+    random.seed(23)
+    rows, good = [], {}
+    for i in range(6000):
+        bad = random.random() < 0.2
+        words = [f"w{random.randrange(5000)}" for _ in range(55)]
+        if bad or random.random() < 0.001:
+            words = [w + "!" * random.randrange(1, 9) for w in words]
+        rows.append((i, " ".join(words), ["en", "de", None][i % 3] if i % 7 else "rare", "a"))
+        good[i] = 0 if bad else 1
+    labels = spark.createDataFrame([(i, g) for i, g in good.items() if i % 10], "doc_id bigint, quality int")
+    params = rules.RuleParams(risk=0.12)
+    got = {r.doc_id: r for r in rules.judge_quality(docs(spark, rows), labels, params).collect()}
+    steps, strata = {}, {}
+    for i, r in got.items():
+        assert not r.base_failed
+        steps[i] = {name: min(getattr(r, over) * 256 // getattr(r, under), 256) if getattr(r, under) else 0 for name, (over, under) in rules.RULES.items()}
+        strata.setdefault(rows[i][2], []).append(i)
+    fired = 0
+    for members in strata.values():
+        held = [i for i in members if i % 10 and good[i]]
+        cutoffs = {}
+        for name in rules.RULES:
+            for c in range(256, 0, -1):
+                k = sum(steps[i][name] >= c for i in held)
+                if k > 0.02 * len(held) or rules.at_most(k, len(held), 0.02) > 0.05 / (6 * len(strata)):
+                    break
+                cutoffs[name] = c
+        for i in members:
+            assert got[i].kept == all(steps[i][name] < c for name, c in cutoffs.items())
+            fired += not got[i].kept
+    assert fired > 500
 
 
 def test_cutoffs_need_evidence():
