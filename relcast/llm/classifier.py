@@ -131,8 +131,8 @@ def grade(quality: Column, toxic: Column) -> Column:
 def fit_classifier(docs: DataFrame, rated: DataFrame, levels: int = 3, params: ClassifierParams = ClassifierParams(), id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on a sample of ``rated`` (id, grade) of about ``train_docs`` documents; whole texts are read on executors.
 
-    The sample is bounded, so it is broadcast and its features go to the driver. Without a rated document every weight
-    is 0 and every document is selected.
+    The sample is bounded, so it is broadcast and its features go to the driver, of rows with one id those of one row.
+    Without a rated document every weight is 0 and every document is selected.
     """
     known = rated.select("id", "grade").dropna().groupBy("id").agg(F.min("grade").alias("grade"))
     total = known.count()
@@ -145,7 +145,8 @@ def fit_classifier(docs: DataFrame, rated: DataFrame, levels: int = 3, params: C
         for batch in batches(frames, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([features(t).tobytes() for t in texts(batch, "text")], pa.binary())], ["id", "grade", "places"])
 
-    rows = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, grade int, places binary").collect()
+    made = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, grade int, places binary")
+    rows = made.groupBy("id").agg(F.min(F.struct("grade", "places")).alias("row")).select("id", "row.*").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["places"])))
     if not rows:
         return OrdinalModel(np.zeros(1 << params.bits, np.float32), np.arange(levels - 1) - 10.0, params)

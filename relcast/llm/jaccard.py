@@ -480,8 +480,10 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all columns, but of each component only the document of least id.
 
-    Of repeated rows with that id one stays if its text has words; rows without words or id all stay.
+    Rows that repeat that id all stay, and so do rows without words or id.
     """
     found = jaccard_components(docs, params, id_col, text_col)
-    gone = cut(found.where((F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct())
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that equal names do no harm
+    plain, at = docs.toDF(*names), names[docs.columns.index(id_col)]
+    return plain.join(gone, F.col(at) == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -92,18 +92,17 @@ def slots_of(hashed: np.ndarray, p: LanguageParams) -> list[np.ndarray]:
 def fit_languages(docs: DataFrame, params: LanguageParams = LanguageParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows of ``docs`` that have text and language; the caller leaves out what is held out.
 
-    n-grams are counted on executors and summed; what reaches the driver is at most ``1 / share`` n-grams for each
-    language and size.
+    n-grams are counted on executors and summed; what reaches the driver is a count and at most ``1 / share`` n-grams for each
+    language and size. Facts by language are joined as small tables, so plans don't grow with the number of languages.
     """
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(sizes, key=lambda x: x.encode()))
     if not languages:
         return LanguageModel((), (), 0, params)
     chance = F.pmod(F.xxhash64(F.lit(params.seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, params.docs_per_language / sizes[lang])))]), F.col("lang"))
-    place = F.array_position(F.array(*[F.lit(lang) for lang in languages]), F.col("lang")).cast("int") - 1
-    sample = labelled.where(chance < share).select(place.alias("place"), "text")
+    known = docs.sparkSession.createDataFrame([(lang, place, min(1.0, params.docs_per_language / sizes[lang])) for place, lang in enumerate(languages)], "lang string, place int, share double")
+    sample = labelled.withColumn("chance", chance).join(F.broadcast(known), "lang").where("chance < share").select("place", "text")
 
     def count(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letters_table()
@@ -118,12 +117,10 @@ def fit_languages(docs: DataFrame, params: LanguageParams = LanguageParams(), id
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), lang, np.int32)), pa.array(np.full(len(n), size, np.int32)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["place", "size", "gram", "n"])
 
     counts = cut(sample.mapInArrow(count, "place int, size int, gram bigint, n bigint").groupBy("place", "size", "gram").agg(F.sum("n").alias("n")))
-    least = {(r["place"], r["size"]): r["n"] * params.share for r in counts.groupBy("place", "size").agg(F.sum("n").alias("n")).collect()}
+    least = counts.groupBy("place", "size").agg((F.sum("n") * params.share).alias("least"))
     rows: list[list[int]] = [[] for _ in languages]
-    if least:
-        passes = F.element_at(F.create_map(*[x for (lang, size), n in least.items() for x in (F.lit(lang * 1000 + size), F.lit(float(n)))]), F.col("place") * 1000 + F.col("size"))
-        for r in counts.where(F.col("n") >= passes).select("place", "gram").collect():
-            rows[r["place"]].append(r["gram"])
+    for r in counts.join(F.broadcast(least), ["place", "size"]).where("n >= least").select("place", "gram").collect():
+        rows[r["place"]].append(r["gram"])
     return LanguageModel(languages, tuple(np.sort(np.array(r, np.int64)).view(np.uint64) for r in rows), max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)), params)
 
 

@@ -20,8 +20,6 @@ NOT_UPDATED = (
 )
 #: Query parameters that don't change a page.
 TRACKING = "^(utm_.*|ref|gclid|fbclid|sessionid)(=.*)?$"
-#: The time between the first and the last record is cut into so many windows; a url's records are sorted window by window.
-WINDOWS = 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -62,16 +60,18 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     * ``no_response``: there is no earlier full response, or the url or the time of the revisit is null.
 
     Only ``resolved`` has digest and headers. Earlier means a smaller ts; of responses at one time the greatest record_id
-    counts. Repeated revisits are judged each; an empty table gives an empty result. A url with many records is sorted
-    in windows of time; the last response of each window is carried to the next ones through a small table.
+    counts. Repeated revisits are judged each; an empty table gives an empty result. Records are dealt to ranges of url
+    and time, so a url with many records is sorted in pieces of equal size; the last response of each piece is carried to
+    the next ones through a small table.
     """
     found = F.struct("record_id", "etag", "last_modified", "digest", "headers")
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("ts").alias("us"), "kind", "etag", "last_modified", "digest", clean_headers(F.col("headers")).alias("headers"))
     rows = rows.where(F.col("kind").isin("response", "revisit"))
-    first, last = rows.agg(F.min("us"), F.max("us")).first()
-    first, wide = first or 0, ((last or 0) - (first or 0)) // WINDOWS + 1
-    placed = cut(rows.where("url_key IS NOT NULL AND us IS NOT NULL").withColumn("part", F.floor((F.col("us") - F.lit(first)) / F.lit(wide)).cast("int")).withColumn("full", F.when(F.col("kind") == "response", found)))
-    order = Window.partitionBy("url_key", "part").orderBy("us", F.col("full").isNotNull(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.where("url_key IS NOT NULL AND us IS NOT NULL").withColumn("full", F.when(F.col("kind") == "response", found))
+    # the order of a url's records: a response is no answer to revisits of its own time
+    by_time = [F.col("us"), F.col("full").isNotNull(), F.col("record_id")]
+    placed = cut(known.repartitionByRange("url_key", *by_time).withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("url_key", "part").orderBy(*by_time).rowsBetween(Window.unboundedPreceding, -1)
     near = placed.withColumn("near", F.last("full", ignorenulls=True).over(order)).where("kind = 'revisit'")
     ends = placed.where("full IS NOT NULL").groupBy("url_key", "part").agg(F.max_by("full", F.struct("us", "record_id")).alias("end"))
     marks = placed.select("url_key", "part").distinct().join(ends, ["url_key", "part"], "left")

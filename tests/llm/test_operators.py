@@ -475,7 +475,7 @@ def test_search_by_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(table)] + [(3, table[3].tolist()), (None, [1] * 8), (900, None), (950, [1, 2]), (1000, [])]
     vectors = spark.createDataFrame(rows, "id bigint, v array<bigint>").withColumn("score", F.lit(1))
     got: dict = {}
-    for params in (vector_search.SearchParams(bits=3, vector_block=60, query_block=4, read=2), vector_search.SearchParams()):
+    for params in (vector_search.SearchParams(bits=3, vector_block=60, query_chunk=4, least_vectors=50, read=1, more=2), vector_search.SearchParams()):
         for r in vector_search.search(vectors, F.col("id") % 50 == 0, params).collect():
             got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
         for q in range(0, 500, 50):
@@ -486,9 +486,41 @@ def test_search_by_brute_force(spark):
     assert vector_search.search(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 6, 8])
+def test_packed_cells(bits):
+    cells = np.random.default_rng(bits).integers(0, 1 << bits, (37, 5)).astype(np.uint8)
+    raw = vector_search.packed(cells, bits)
+    assert len(raw) == -(-37 * 5 * bits // 8) and (vector_search.unpacked(raw, 37, 5, bits) == cells).all()
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    table = np.floor(256 * rng.normal(0, 0.1, (4000, 32))).astype(int)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "id bigint, v array<bigint>")
+    read, exact = [], vector_search.exact_scores
+    monkeypatch.setattr(vector_search, "exact_scores", lambda wanted, *a: (read.append(wanted.count()), exact(wanted, *a))[1])
+    got = vector_search.search(vectors, F.col("id") % 50 == 0).collect()
+    assert len(got) == 5 * 80 and sum(read) < 0.02 * 80 * 4000
+    for q in (0, 50, 3950):
+        scores = table @ table[q]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]]
+
+
+def test_search_of_very_large_numbers(spark):
+    big, params = 1 << 60, vector_search.SearchParams(k=3, read=1, more=2)
+    rows = [(0, [3, -5]), (1, [big, big - 1]), (2, [big, big]), (3, [-big, 7]), (4, [-(1 << 62), 1])]
+    vectors = spark.createDataFrame(rows, "id bigint, v array<bigint>")
+    got = vector_search.search(vectors, F.col("id") == 0, params).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, -2 * big + 5), (2, -2 * big), (3, -3 * big - 35)]
+    with pytest.raises(Exception, match="CAST_OVERFLOW|out of range"):
+        vector_search.search(vectors, F.col("id") == 2, params).collect()
+
+
 def test_components_of_vectors_that_are_no_numbers(spark):
     df = spark.createDataFrame([([0.5, -0.001],), ([float("nan"), 1.0],), ([None, 1.0],), (None,), ([float("inf"), 1.0],)], "v array<float>")
     assert [r.w for r in df.select(vector_search.whole_components(F.col("v")).alias("w")).collect()] == [[128, -1], None, None, None, None]
+    with pytest.raises(Exception, match="no bigint"):
+        spark.createDataFrame([([1e30, 1.0],)], "v array<double>").select(vector_search.whole_components(F.col("v"))).collect()
 
 
 # --- 10 -------------------------------------------------------------------------------------------------------------------
