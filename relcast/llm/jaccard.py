@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, per_text, texts
+from .common import WORD, batches, cut, per_text, texts
 from .components import Forest, components
 from .signature_tree import TreeJoin
 
@@ -480,10 +480,17 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all columns, but of each component only the document of least id.
 
-    Rows that repeat that id all stay, and so do rows without words or id.
+    Of equal rows (id and text) with words one stays; an id's rows with different texts stay or go together; rows without
+    words or id all stay.
     """
     found = jaccard_components(docs, params, id_col, text_col)
     gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that equal names do no harm
-    plain, at = docs.toDF(*names), names[docs.columns.index(id_col)]
-    return plain.join(gone, F.col(at) == F.col("gone"), "left_anti").toDF(*docs.columns)
+    at, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = docs.toDF(*names).join(gone, F.col(at) == F.col("gone"), "left_anti")
+    twice = cut(found.where("n_shingles > 0").groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("k")).where("k > 1 AND again IS NOT NULL").select("again"))
+    if not twice.isEmpty():
+        words, several = F.coalesce(F.col(text).rlike(WORD), F.lit(False)), F.col(at) == F.col("again")
+        once = kept.where(words).join(twice, several, "left_semi").dropDuplicates([at, text])
+        kept = kept.where(~words).unionByName(kept.where(words).join(twice, several, "left_anti")).unionByName(once)
+    return kept.toDF(*docs.columns)

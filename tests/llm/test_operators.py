@@ -704,5 +704,42 @@ def test_mixing_stage_keeps_rows_without_id(spark):
         assert after[source, True] == pytest.approx(after[source, False], rel=0.25)
 
 
+def test_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Null ids, sources and texts, repeated rows, a long text and columns whose names the stages use themselves."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(6, 1, 0), (None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clash = lambda df: df.select("*", *[F.lit("y").alias(c) for c in ("row", "times", "copy", "gone", "again", "c0", "id", "id", "t", "s")])
+    texts = lambda df: sorted((str(r.doc_id), (r.text or "")[:20]) for r in df.select("doc_id", "text").collect())
+    stages = dict(pipeline.STAGES)
+    for name, stage in stages.items():
+        empty = stage(spark, clash(none), str(tmp_path))
+        assert empty.count() == 0
+        got = stage(spark, clash(odd), str(tmp_path))
+        if name == "byte-level BPE":
+            assert got.count() == len(ODD)
+            continue
+        assert got.columns == clash(odd).columns == empty.columns
+        want = texts(odd)
+        if name == "n-gram Jaccard join":
+            want.remove(("5", "same text here again"))
+        if name == "mixing sources":
+            # the sources without a long text are taken three times, as often as they may be
+            assert {t[0] for t in texts(got)} <= {"4", "5", "6", "None"} and texts(got).count(("6", ODD[-1][1][:20])) == 3
+        elif name != "quality classifier":
+            assert texts(got) == want
+        else:
+            assert set(texts(got)) <= set(want)
+
+
+def test_mix_of_small_tables_meets_its_targets(spark):
+    """Words by source after the stage against the operator's targets, on the driver's table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    made = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    words = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")
+    target = {r.source: r.target for r in mixing.mix_documents(made).join(made.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+    got = {r.source: r.words for r in pipeline.mix_sources(spark, made, "").groupBy("source").agg(words).collect()}
+    assert got == pytest.approx(target, rel=0.02)
+
+
 def test_crc_of_checked_tokens():
     assert secrets.base62_crc("") == "000000" and len(secrets.base62_crc("x" * 30)) == 6
