@@ -24,7 +24,7 @@ from .common import per_text
 
 LONG = 96
 #: A worker keeps the tokens of so many words and pieces and then starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 450_000
 #: A space at an end of the text or beside other white space (as Python has it, which includes all that the pattern has).
 ODD_SPACE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -74,7 +74,7 @@ WITH RECURSIVE step(n, w, p, id) AS (
 SELECT s.w, s.p, s.id, s.n FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.w, s.p
 """
 #: Rows that a query over rows may make in all its steps, unless one step makes more.
-LONG_ROWS = 1_000_000
+LONG_ROWS = 100_000
 DECODE = "SELECT d, list(bytes ORDER BY p) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
 
 
@@ -94,7 +94,7 @@ class Codec:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         early = rank < np.maximum(left, right)
         self._table("early", pa.table({"l": left[early], "r": right[early]}))
@@ -125,7 +125,7 @@ class Codec:
         """The tokens of words, as little-endian unsigned 32-bit integers."""
         out, held, rows = {}, [], 0
         for w in [w for w in words if len(w) > LONG]:
-            if held and rows + len(w) > LONG_ROWS // 20:
+            if held and rows + len(w) > LONG_ROWS // 10:
                 out.update(zip(held, self.contracted_long(held), strict=True))
                 held, rows = [], 0
             held, rows = [*held, w], rows + len(w)
@@ -244,4 +244,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     stay; ``keep`` names columns to carry, all others are left out. A long text is encoded whole; an empty table gives an
     empty result. One pass without exchange.
     """
-    return per_text(docs, [id_col, *keep], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""), _coder(path, pattern, ids), rows=4096, size=6 << 20)
+    return per_text(docs, [id_col, *keep], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""), _coder(path, pattern, ids), rows=4096, size=3 << 20)

@@ -49,7 +49,7 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def batches(frames: Iterable[pa.RecordBatch], column: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(frames: Iterable[pa.RecordBatch], column: str, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of few rows and few bytes of ``column``, so that what Python makes of a slice stays small.
 
     A single longer text is a slice of its own.
@@ -71,7 +71,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], rows: int = 512, size: int = 4 << 20) -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], rows: int = 512, size: int = 1 << 20) -> DataFrame:
     """Columns ``keep`` of ``df`` and what ``make()(texts)`` gives for its texts; one pass over the rows, no exchange.
 
     ``fields`` is the DDL of the added columns; ``make`` runs once in each task.

@@ -54,7 +54,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << n.bit_length()
+            size = n + n // 4
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, INVERSE))
         return self.up, self.down
 
@@ -248,7 +248,7 @@ def part_rows(docs: DataFrame, params: JaccardParams, common: np.ndarray | None
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, keys_of = Powers(), PartKeys(params.over, params.chain, common)
-        for batch in batches(frames, "text", 4096, 4 << 20):
+        for batch in batches(frames, "text", 4096):
             made = thinned(*keys_of(shingle_sets(texts(batch, "text"), params.shingle, powers), batch.column("id").to_numpy()))
             for k in range(0, len(made[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in made], ["key", "parity", "n", "id"])

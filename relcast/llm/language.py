@@ -106,7 +106,7 @@ def fit_languages(docs: DataFrame, params: LanguageParams = LanguageParams(), id
 
     def count(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letters_table()
-        for batch in batches(frames, "text", 2048, 8 << 20):
+        for batch in batches(frames, "text", 2048, 2 << 20):
             held: dict[tuple[int, int], list[np.ndarray]] = {}
             for lang, raw in zip(batch.column("place").to_pylist(), texts(batch, "text"), strict=True):
                 if (points := folded(raw, letters)) is not None:
