@@ -24,7 +24,7 @@ from .common import per_text
 
 LONG = 96
 #: A worker keeps the tokens of so many words and pieces and then starts anew.
-KEPT_WORDS = 450_000
+KEPT_WORDS = 600_000
 #: A space at an end of the text or beside other white space (as Python has it, which includes all that the pattern has).
 ODD_SPACE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -94,7 +94,7 @@ class Codec:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "allocator_flush_threshold": "4MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         early = rank < np.maximum(left, right)
         self._table("early", pa.table({"l": left[early], "r": right[early]}))
@@ -132,8 +132,8 @@ class Codec:
         if held:
             out.update(zip(held, self.contracted_long(held), strict=True))
         short = [w for w in words if len(w) <= LONG]
-        for k in range(0, len(short), 50_000):
-            part = short[k : k + 50_000]
+        for k in range(0, len(short), 20_000):
+            part = short[k : k + 20_000]
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32)
             ids = self.single[np.frombuffer(b"".join(part), np.uint8)]
             self._table("start", pa.table({"w": np.arange(len(part), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))}))
@@ -186,8 +186,8 @@ class Codec:
     def decode_runs(self, runs: list[bytes]) -> list[bytes]:
         """The bytes of each run of tokens: rows (run, position, token) join the vocabulary and are aggregated in order."""
         out = [b""] * len(runs)
-        for k in range(0, len(runs), 100_000):
-            part = runs[k : k + 100_000]
+        for k in range(0, len(runs), 40_000):
+            part = runs[k : k + 40_000]
             sizes = np.array([len(ids) // 4 for ids in part], np.int64)
             if not sizes.sum():
                 continue
@@ -244,4 +244,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     stay; ``keep`` names columns to carry, all others are left out. A long text is encoded whole; an empty table gives an
     empty result. One pass without exchange.
     """
-    return per_text(docs, [id_col, *keep], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""), _coder(path, pattern, ids), rows=4096, size=3 << 20)
+    return per_text(docs, [id_col, *keep], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""), _coder(path, pattern, ids), rows=4096, size=1 << 20)

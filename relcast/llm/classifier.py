@@ -67,7 +67,7 @@ class Features:
         raw = raw or b""
         words = set(raw.lower().split())
         if new := words.difference(self.met):
-            if len(self.met) > 200_000:
+            if len(self.met) > 60_000:
                 self.met.clear()
                 new = words
             self.met.update((w, self.places(w.strip(STRIP))) for w in new)
