@@ -57,6 +57,18 @@ def cloze_scan(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ords": [o for o, _ in found], "malformed": [m for _, m in found]})
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def cloze_ordinals_of(texts: pd.Series) -> pd.Series:
+    """Ordinals of several texts together; null where there are no texts to look at."""
+    return _each(texts, lambda values: sorted({n for v in values if v is not None for n in scanners.cloze_ordinals(v)[0]}))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def filled_names(fields: pd.Series) -> pd.Series:
+    """Names of the fields whose text isn't blank without markup; null for null."""
+    return _each(fields, lambda entries: [name for name, value in dict(entries).items() if scanners.strip_html(value or "").strip()])
+
+
 @F.pandas_udf(T.StringType())
 def cloze_components(values: pd.Series) -> pd.Series:
     """Canonical JSON of the components; null where the text is malformed."""

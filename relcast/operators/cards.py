@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, strip_html
+from ..functions import udfs
+from ..functions.text import is_blank, special_field
+from .order import running
 
 DEFAULT_DECK = "Default"
 
@@ -29,31 +31,56 @@ def template_names(template: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(inner, lambda e: F.trim(F.element_at(F.split(F.regexp_replace(F.trim(e), "^[#^]", ""), ":"), -1)))))
 
 
-def filled(fields: Column, declared: Column, name: Column) -> Column:
-    """The type declares the field and its text isn't blank."""
-    return F.array_contains(declared, name) & ~is_blank(strip_html(F.coalesce(F.try_element_at(fields, name), F.lit(""))))
+def card_ordinals(texts: Column) -> Column:
+    """Sorted distinct card ordinals of any texts (an array of strings, without null).
+
+    Texts whose deletions are all plain are read natively; others, where a deletion may be empty, open, nested or out of
+    range, go to the exact scanner.
+    """
+    odd = F.exists(texts, lambda t: F.regexp_replace(t, r"\{\{c[1-9][0-9]{0,8}::[^{}]+\}\}", "").contains("{{c"))
+    return F.coalesce(udfs.cloze_ordinals_of(F.when(odd, texts)), cloze_ords(texts))
+
+
+def filled_names(fields: Column) -> Column:
+    """Names of the fields (a map) whose text isn't blank; only texts with markup go to the exact scanner."""
+    marked = F.exists(F.map_values(fields), lambda v: v.contains("<") | v.contains("&"))
+    return F.coalesce(udfs.filled_names(F.when(marked, fields)), F.map_keys(F.map_filter(fields, lambda _, v: ~is_blank(v))))
 
 
-def generates(kind: Column, names: Column, fields: Column, declared: Column) -> Column:
-    """Generation rule: none, all (an empty list holds), or any (an empty list doesn't)."""
-    has = lambda n: filled(fields, declared, n)
+def generates(kind: Column, names: Column, filled: Column, declared: Column) -> Column:
+    """Generation rule: none, all (an empty list holds), or any (an empty list doesn't). ``filled`` are names of filled fields."""
+    has = lambda n: F.array_contains(declared, n) & F.array_contains(filled, n)
     return F.when(kind == "none", F.lit(True)).when(kind == "all", F.forall(names, has)).otherwise(F.exists(names, has))
 
 
+def special_values(card: Column, deck: Column, tags: Column, kind: Column) -> Column:
+    """Special field to value, of those that have one."""
+    names = [F.lit(name) for name in ("Card", "Deck", "Subdeck", "Tags", "Type")]
+    return F.map_filter(F.map_from_arrays(F.array(*names), F.array(*[special_field(n, card, deck, tags, kind) for n in names])), lambda _, v: v.isNotNull())
+
+
 def plan_cards(notes: DataFrame, notetypes: DataFrame) -> DataFrame:
     """(note_id, template_index, card_ord, template_name, target_deck, deck_name) of every card.
 
-    ``notes`` has id, notetype_id, fields and deck_name; ``notetypes`` id, kind, fields (names) and templates with name,
-    ord, rule_kind, rule_fields and target_deck_name. A cloze type makes a card of its first template for each ordinal.
+    ``notes`` has id, notetype_id, fields and deck_name, and may have tags; ``notetypes`` id, kind, fields (names) and
+    templates with name, ord, question_format, rule_kind, rule_fields and target_deck_name, and may have a name. A template
+    without a rule makes a card if its rendered front has text. A cloze type makes a card of its first template for each ordinal.
     """
-    types = notetypes.select(F.col("id").alias("notetype_id"), "kind", F.col("fields").alias("declared"), "templates")
-    joined = notes.select(F.col("id").alias("note_id"), "notetype_id", "fields", "deck_name").join(types, "notetype_id")
-    plain = joined.where("kind <> 'cloze'").select("note_id", "fields", "declared", "deck_name", F.posexplode("templates").alias("template_index", "t"))
-    plain = plain.where(generates(F.col("t.rule_kind"), F.col("t.rule_fields"), F.col("fields"), F.col("declared")))
-    plain = plain.select("note_id", "template_index", F.coalesce(F.col("t.ord"), F.col("template_index")).cast("bigint").alias("card_ord"), "t", "deck_name")
+    kind_name = F.col("name") if "name" in notetypes.columns else F.col("id")
+    types = notetypes.select(F.col("id").alias("notetype_id"), "kind", F.col("fields").alias("declared"), "templates", kind_name.alias("type_name"))
+    tags = F.col("tags") if "tags" in notes.columns else F.array().cast("array<string>")
+    joined = notes.select(F.col("id").alias("note_id"), "notetype_id", "fields", "deck_name", tags.alias("tags")).join(types, "notetype_id")
+    each = joined.where("kind <> 'cloze'").select("note_id", "fields", "declared", "deck_name", "tags", "type_name", F.posexplode("templates").alias("template_index", "t"))
+    ruled = each.where("t.rule_kind IS NOT NULL").withColumn("filled", filled_names(F.col("fields")))
+    ruled = ruled.where(generates(F.col("t.rule_kind"), F.col("t.rule_fields"), F.col("filled"), F.col("declared"))).drop("filled")
+    special = special_values(F.col("t.name"), F.col("deck_name"), F.col("tags"), F.col("type_name"))
+    free = each.where("t.rule_kind IS NULL AND t.question_format IS NOT NULL")
+    free = free.where(udfs.renders_text(F.col("t.question_format"), F.map_filter("fields", lambda _, v: v.isNotNull()), special, F.col("declared")))
+    plain = ruled.unionByName(free).select("note_id", "template_index", F.coalesce(F.col("t.ord"), F.col("template_index")).cast("bigint").alias("card_ord"), "t", "deck_name")
     cloze = joined.where("kind = 'cloze'").withColumn("t", F.try_element_at("templates", F.lit(1))).where("t IS NOT NULL")
-    texts = F.when(F.size("t.rule_fields") > 0, F.filter(F.transform("t.rule_fields", lambda n: F.try_element_at("fields", n)), lambda v: v.isNotNull())).otherwise(F.map_values("fields"))
-    cloze = cloze.select("note_id", F.lit(0).alias("template_index"), F.explode(cloze_ords(texts)).alias("card_ord"), "t", "deck_name")
+    values = F.when(F.size("t.rule_fields") > 0, F.transform("t.rule_fields", lambda n: F.try_element_at("fields", n))).otherwise(F.map_values("fields"))
+    cloze = cloze.withColumn("texts", F.filter(values, lambda v: v.isNotNull()))
+    cloze = cloze.select("note_id", F.lit(0).alias("template_index"), F.explode(card_ordinals(F.col("texts"))).alias("card_ord"), "t", "deck_name")
     return plain.unionByName(cloze).select("note_id", "template_index", "card_ord", F.col("t.name").alias("template_name"), F.col("t.target_deck_name").alias("target_deck"), "deck_name")
 
 
@@ -64,18 +91,9 @@ def deck_registry(names: DataFrame) -> DataFrame:
     return numbered.unionByName(names.sparkSession.range(1).select(F.lit(DEFAULT_DECK).alias("name"), F.lit(1).cast("bigint").alias("deck_id")))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """1-based places in an order, in two phases: places within ranges of the first key, and the ranges' starts.
-
-    A window over all rows would put them into one task; here it has one row for each range. ``order[0]`` is a number.
-    """
-    bounds = rows.agg(F.min(order[0]).alias("__low"), F.max(order[0]).alias("__high"))
-    part = F.floor((F.col(order[0]) - F.col("__low")) * parts / (F.col("__high") - F.col("__low") + 1)).cast("int")
-    dealt = rows.join(F.broadcast(bounds)).withColumn("__part", part).drop("__low", "__high")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + place).cast("bigint")).drop("__part", "__start")
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with 1-based places in an order, summed up over ranges of it."""
+    return running(rows, [], order, F.lit(1).cast("bigint"), name)
 
 
 def card_decks(cards: DataFrame, decks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..functions.text import json_text, unix_newlines
+from .order import running
 
 #: Fixed values.
 NAMESPACE = "afid:v1:"
@@ -87,8 +88,15 @@ def identity_issues(notes: DataFrame) -> DataFrame:
 
 
 def generated_ids(notes: DataFrame, taken: DataFrame) -> DataFrame:
-    """Generated ids ``generated:<deck>:<n>`` of notes (deck, ord) that don't meet a taken id."""
-    from pyspark.sql import Window
+    """Notes (deck, ord) with ``id`` generated:<deck>:<n>; the numbers of a deck go up in order and leave out taken ids.
 
-    named = notes.withColumn("id", F.concat(F.lit("generated:"), "deck", F.lit(":"), F.row_number().over(Window.partitionBy("deck").orderBy("ord"))))
-    return named.join(taken.select(F.col("stable_id").alias("id")), "id", "left_anti")
+    ``taken`` has stable_id. The jth taken number t of a deck lies before its note i if t - j < i, so a note's number is its
+    place and the count of such t. Places and counts are running sums, so no deck is numbered in one task.
+    """
+    name, one = r"(?s)^generated:(.*):([1-9][0-9]{0,17})$", F.lit(1).cast("bigint")
+    used = taken.select(F.regexp_extract("stable_id", name, 1).alias("deck"), F.regexp_extract("stable_id", name, 2).alias("n")).where("n <> ''")
+    used = running(used.select("deck", F.col("n").cast("bigint").alias("n")).distinct(), ["deck"], ["n"], one, "j")
+    placed = running(notes, ["deck"], ["ord"], one, "place")
+    marks = placed.select("deck", "place", "ord", F.lit(1).alias("kind")).unionByName(used.select("deck", (F.col("n") - F.col("j") + 1).alias("place"), F.lit(None).cast(notes.schema["ord"].dataType).alias("ord"), F.lit(0).alias("kind")))
+    counted = running(marks, ["deck"], ["place", "kind"], F.when(F.col("kind") == 0, one).otherwise(F.lit(0).cast("bigint")), "before").where("kind = 1")
+    return counted.select(F.concat(F.lit("generated:"), "deck", F.lit(":"), F.col("place") + F.col("before")).alias("id"), "deck", "ord")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +40,23 @@ def object_roles(media: DataFrame) -> DataFrame:
 def within_budget(objects: DataFrame, limit: int) -> DataFrame:
     """Objects in order (grp, ord, size) with ``kept``: one that would pass the limit is skipped and not counted.
 
-    The running total depends on every earlier choice, so a group is folded in order. A group is one document's media,
-    which a build holds in memory by nature; groups are folded in parallel.
+    The running total depends on every earlier choice, so a group is read in order; groups go side by side. A task reads its rows as a
+    sorted stream and holds one total.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ord", "size")))
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<ord bigint, size bigint, kept boolean>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["total"] + x["size"] <= limit
-        row = F.struct(x["ord"].cast("bigint").alias("ord"), x["size"].cast("bigint").alias("size"), fits.alias("kept"))
-        return F.struct(F.when(fits, acc["total"] + x["size"]).otherwise(acc["total"]).alias("total"), F.concat(acc["done"], F.array(row)).alias("done"))
 
-    return objects.groupBy("grp").agg(rows.alias("rows")).select("grp", F.inline(F.aggregate("rows", start, step, lambda acc: acc["done"])))
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = object(), 0
+        for frame in frames:
+            kept = []
+            for grp, size in zip(frame.column("grp").to_pylist(), frame.column("size").to_pylist(), strict=True):
+                if grp != at:
+                    at, total = grp, 0
+                kept.append(total + size <= limit)
+                total += size if kept[-1] else 0
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(kept, pa.bool_())], [*frame.schema.names, "kept"])
+
+    rows = objects.select("grp", F.col("ord").cast("bigint").alias("ord"), F.col("size").cast("bigint").alias("size")).repartition("grp").sortWithinPartitions("grp", "ord", "size")
+    return rows.mapInArrow(run, f"grp {rows.schema['grp'].dataType.simpleString()}, ord bigint, size bigint, kept boolean")
 
 
 def media_summary(objects: DataFrame, bindings: DataFrame, resolved: DataFrame) -> DataFrame:

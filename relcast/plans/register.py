@@ -602,10 +602,20 @@ def identity_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.identity_issues(table(spark, sf_dir, "documents").select(F.sha1("text").alias("stable_id"), F.col("source").alias("payload")))
 
 
-@query("SELECT 'generated:' || deck || ':' || row_number() OVER (PARTITION BY deck ORDER BY doc_id) AS id, deck, doc_id AS ord FROM cur", ("cur",))
+@query(
+    """, named AS (SELECT coalesce(deck, 'Default') AS deck, doc_id FROM cur),
+    used AS (SELECT DISTINCT deck, doc_id % 40 + 1 AS n FROM named WHERE doc_id % 3 = 0),
+    numbers AS (SELECT deck, unnest(range(1, count(*) + 42)) AS n FROM named GROUP BY deck),
+    free AS (SELECT deck, n, row_number() OVER (PARTITION BY deck ORDER BY n) AS place FROM numbers ANTI JOIN used USING (deck, n)),
+    placed AS (SELECT deck, doc_id, row_number() OVER (PARTITION BY deck ORDER BY doc_id) AS place FROM named)
+    SELECT 'generated:' || deck || ':' || n AS id, deck, doc_id AS ord FROM placed JOIN free USING (deck, place)""",
+    ("cur",),
+)
 def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = frames.notes(table(spark, sf_dir, "documents"), True)
-    return identity.generated_ids(notes.select("deck", F.col("doc_id").alias("ord")), notes.select(F.col("id").alias("stable_id")))
+    """Every third note has a generated id already, many of them the same."""
+    notes = frames.notes(table(spark, sf_dir, "documents"), True).select(F.coalesce("deck", F.lit("Default")).alias("deck"), F.col("doc_id").alias("ord"))
+    taken = F.concat(F.lit("generated:"), "deck", F.lit(":"), F.col("ord") % 40 + 1)
+    return identity.generated_ids(notes, notes.where("ord % 3 = 0").select(taken.alias("stable_id")))
 
 
 @query("SELECT doc_id, source AS subdeck, lang || ' ' || source AS tags FROM documents")
@@ -629,36 +639,49 @@ def selector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cards and collections ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT id, CASE WHEN p_size % 5 = 0 THEN '' ELSE '0,1' END AS ords FROM cloze", ("cloze",))
+def odd_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloze texts with a deletion that is open, out of range, empty, zero or nested at the end of some."""
+    rows, size = frames.cloze_notes(table(spark, sf_dir, "part")), F.col("p_size")
+    end = F.when(size % 7 == 0, "{{c3::open").when(size % 11 == 0, "{{c99999999999::x}}").when(size % 13 == 0, "{{c4::}}").when(size % 17 == 0, "{{c0::x}}").when(size % 19 == 0, "{{c6::a {{c7::b}} }}").otherwise("")
+    return rows.withColumn("text", F.concat("text", end))
+
+
+CTES["odd_cloze"] = """SELECT id, p_size % 7 = 0 OR p_size % 11 = 0 OR p_size % 13 = 0 OR p_size % 17 = 0 OR p_size % 19 = 0 AS malformed,
+  array_to_string(list_concat(CASE WHEN p_size % 5 = 0 THEN [] ELSE ['0', '1'] END, CASE WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN [] WHEN p_size % 13 = 0 THEN ['3'] WHEN p_size % 17 = 0 THEN [] WHEN p_size % 19 = 0 THEN ['5'] ELSE [] END), ',') AS ords FROM cloze"""
+
+
+@query("SELECT id, ords FROM odd_cloze", ("cloze", "odd_cloze"))
 def cloze_ords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.cloze_notes(table(spark, sf_dir, "part")).select("id", joined(cards.cloze_ords(F.array("text")).cast("array<string>")).alias("ords"))
+    return odd_cloze(spark, sf_dir).select("id", joined(cards.card_ordinals(F.array("text")).cast("array<string>")).alias("ords"))
 
 
-@query("SELECT id, CASE WHEN p_size % 5 = 0 THEN '' ELSE '0,1' END AS ords, false AS malformed FROM cloze", ("cloze",))
+@query("SELECT id, ords, malformed FROM odd_cloze", ("cloze", "odd_cloze"))
 def cloze_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.cloze_notes(table(spark, sf_dir, "part")).select("id", udfs.cloze_scan(F.col("text")).alias("s"))
+    rows = odd_cloze(spark, sf_dir).select("id", udfs.cloze_scan(F.col("text")).alias("s"))
     return rows.select("id", joined(F.col("s.ords").cast("array<string>")).alias("ords"), F.col("s.malformed").alias("malformed"))
 
 
 def card_types(spark: SparkSession) -> DataFrame:
-    """A plain type with three generation rules, and a cloze type."""
-    made = "array<struct<name string, ord int, rule_kind string, rule_fields array<string>, target_deck_name string>>"
+    """A plain type with three generation rules and a template without one, and a cloze type."""
+    made = "array<struct<name string, ord int, question_format string, rule_kind string, rule_fields array<string>, target_deck_name string>>"
+    rule = ("All", None, "", "all", ["Text", "Extra"], None), ("Any", 5, "", "any", ["Text", "Extra"], "Target"), ("None", None, "", "none", [], None)
     rows = [
-        ("plain", "normal", ["Text", "Extra"], [("All", None, "all", ["Text", "Extra"], None), ("Any", 5, "any", ["Text", "Extra"], "Target"), ("None", None, "none", [], None)]),
-        ("cloze", "cloze", ["Text"], [("Cloze", None, "cloze", ["Text"], None)]),
+        ("plain", "normal", ["Text", "Extra"], [*rule, ("Default", None, "{{^Extra}}<hr>{{/Extra}}{{#Extra}}{{hint:Text}} {{/Extra}}", None, None, None)]),
+        ("cloze", "cloze", ["Text"], [("Cloze", None, "", "cloze", ["Text"], None)]),
     ]
     return spark.createDataFrame(rows, f"id string, kind string, fields array<string>, templates {made}")
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.cloze_notes(table(spark, sf_dir, "part"))
-    extra = F.when(F.col("p_size") % 4 == 0, "<b></b>").otherwise(F.col("p_type"))
+    extra = F.when(F.col("p_size") % 8 == 0, "<b><!-- <i> --></b>&nbsp;").when(F.col("p_size") % 4 == 0, "<b></b>").otherwise(F.col("p_type"))
     notes = rows.select("id", F.when(F.col("ord") % 2 == 0, "cloze").otherwise("plain").alias("notetype_id"), F.create_map(F.lit("Text"), F.col("text"), F.lit("Extra"), extra).alias("fields"), F.concat(F.lit("deck"), F.col("ord") % 3).alias("deck_name"))
     return cards.plan_cards(notes, card_types(spark))
 
 
 CTES["planned"] = """SELECT id AS note_id, 0 AS template_index, unnest([0, 1])::BIGINT AS card_ord, 'Cloze' AS template_name, NULL AS target_deck, 'deck' || (ord % 3) AS deck_name, ord FROM cloze WHERE ord % 2 = 0 AND p_size % 5 <> 0
-  UNION ALL SELECT id, 0, 0, 'All', NULL, 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1 AND p_size % 4 <> 0 UNION ALL SELECT id, 1, 5, 'Any', 'Target', 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1 UNION ALL SELECT id, 2, 2, 'None', NULL, 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1"""
+  UNION ALL SELECT id, 0, 0, 'All', NULL, 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1 AND p_size % 4 <> 0 UNION ALL SELECT id, 1, 5, 'Any', 'Target', 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1 UNION ALL SELECT id, 2, 2, 'None', NULL, 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1
+  UNION ALL SELECT id, 3, 3, 'Default', NULL, 'deck' || (ord % 3), ord FROM cloze WHERE ord % 2 = 1 AND p_size % 4 <> 0"""
 
 
 @query("SELECT note_id, template_index, card_ord, template_name, target_deck, deck_name FROM planned", ("cloze", "planned"))
@@ -671,10 +694,10 @@ def generation_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir).groupBy("template_name").agg(F.count("*").alias("cards"))
 
 
-@query("SELECT id, p_size % 5 <> 0 AS generates FROM cloze WHERE p_size % 4 = 0", ("cloze",))
+@query("SELECT id, p_size % 5 <> 0 AS generates FROM cloze", ("cloze",))
 def default_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered front has text: a section on a field that is blank markup for every 5th size."""
-    rows = frames.cloze_notes(table(spark, sf_dir, "part")).where("p_size % 4 = 0")
+    rows = frames.cloze_notes(table(spark, sf_dir, "part"))
     field = F.when(F.col("p_size") % 5 == 0, "<div><br></div>").otherwise(F.col("text"))
     return rows.select("id", udfs.renders_text(F.lit("{{#Text}}{{Text}} {{/Text}}"), F.create_map(F.lit("Text"), field), F.create_map(F.lit("Type"), F.lit("Basic")), F.array(F.lit("Text"))).alias("generates"))
 
@@ -697,7 +720,7 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.card_decks(placed, decks).select("card_id", "note_id", "card_ord", "deck_id")
 
 
-@query("SELECT count(*) AS notetype_count, 3::BIGINT + count(*) - 1 AS template_count, 3::BIGINT AS field_count, (SELECT count(*) FROM part) AS note_count, (SELECT count(*) FROM planned) AS card_count, (SELECT count(*) FROM media) AS media_count FROM (VALUES (1), (2))", ("cloze", "planned", "media"))
+@query("SELECT count(*) AS notetype_count, 4::BIGINT + count(*) - 1 AS template_count, 3::BIGINT AS field_count, (SELECT count(*) FROM part) AS note_count, (SELECT count(*) FROM planned) AS card_count, (SELECT count(*) FROM media) AS media_count FROM (VALUES (1), (2))", ("cloze", "planned", "media"))
 def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.counts(card_types(spark), table(spark, sf_dir, "part"), planned(spark, sf_dir), frames.media(table(spark, sf_dir, "documents")))
 
@@ -715,7 +738,7 @@ def card_deck_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.card_deck_map(rows, notes, table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("did"), F.col("s_name").alias("deck")))
 
 
-@query("SELECT l_orderkey AS note_id, 'plain' AS notetype_id, l_linenumber::BIGINT AS ord, CASE l_linenumber WHEN 2 THEN 'None' WHEN 5 THEN 'Any' ELSE '<missing template>' END AS template FROM lineitem")
+@query("SELECT l_orderkey AS note_id, 'plain' AS notetype_id, l_linenumber::BIGINT AS ord, CASE l_linenumber WHEN 2 THEN 'None' WHEN 3 THEN 'Default' WHEN 5 THEN 'Any' ELSE '<missing template>' END AS template FROM lineitem")
 def card_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.lit("plain").alias("notetype_id"), F.col("l_linenumber").cast("bigint").alias("ord"))
     return observe.card_templates(rows, card_types(spark))

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from relcast.operators import cards, media, normalize, release, risk
+from relcast.operators import cards, identity, media, normalize, release, risk
 from relcast.sources import entities, package, store
 
 OBSERVATION = "domain string, selector string, payload string, evidence array<string>, ord bigint"
@@ -93,14 +93,35 @@ def test_budget_skips_and_goes_on(spark):
 
 def test_two_phase_numbers(spark):
     rows = spark.range(0, 1000).selectExpr("(id * 7919) % 1000 * 3 AS ord")
-    got = [(r.ord, r.n) for r in cards.numbered(rows, ["ord"], "n", parts=7).orderBy("ord").collect()]
+    got = [(r.ord, r.n) for r in cards.numbered(rows.repartition(5), ["ord"], "n").orderBy("ord").collect()]
     assert got == [(i * 3, i + 1) for i in range(1000)]
 
 
 def test_empty_generation_rules(spark):
     df = spark.createDataFrame([("all", []), ("any", []), ("none", ["x"])], "k string, n array<string>")
-    fields = F.create_map(F.lit("a"), F.lit("v"))
-    assert [r.g for r in df.select(cards.generates(F.col("k"), F.col("n"), fields, F.array(F.lit("a"))).alias("g")).collect()] == [True, False, True]
+    names = F.array(F.lit("a"))
+    assert [r.g for r in df.select(cards.generates(F.col("k"), F.col("n"), names, names).alias("g")).collect()] == [True, False, True]
+
+
+def test_templates_without_a_rule(spark):
+    """The front decides: literal text, shown fields, sections, special fields, and markup that leaves nothing."""
+    fronts = ["{{A}}", "{{B}}", "{{#B}}x{{/B}}", "{{^B}}x{{/B}}", "{{! A }}", "<br>", "{{#A}}{{#B}}x{{/B}}{{/A}}", "{{Tags}}", "{{Deck}}", "{{hint:A}}", "{{^A}}x", "{{#Gone}}x{{/Gone}}", "{{C}}", "{{open"]
+    made = "array<struct<name string, ord int, question_format string, rule_kind string, rule_fields array<string>, target_deck_name string>>"
+    types = spark.createDataFrame([("t", "normal", ["A", "B", "C"], [(f, None, f, None, None, None) for f in fronts])], f"id string, kind string, fields array<string>, templates {made}")
+    notes = spark.createDataFrame([("n", "t", {"A": "<b>word</b>", "B": "<div><br></div>&nbsp;", "C": "<img src=a.png>"}, "deck")], "id string, notetype_id string, fields map<string, string>, deck_name string")
+    assert {r.template_name for r in cards.plan_cards(notes, types).collect()} == {"{{A}}", "{{^B}}x{{/B}}", "{{Deck}}", "{{hint:A}}", "{{C}}", "{{open"}
+
+
+def test_malformed_deletions_make_the_cards_of_the_scanner(spark):
+    df = spark.createDataFrame([(["{{c1::}}"],), (["{{c99999999999::x}}", "{{c2::y}}"],), (["{{c3::a}}{{c1::b}}"],), ([],), (["{{c2::{x} }}"],)], "t array<string>")
+    assert [r.o for r in df.select(cards.card_ordinals(F.col("t")).alias("o")).collect()] == [[0], [1], [0, 2], [], [1]]
+
+
+def test_generated_ids_leave_out_taken_ones(spark):
+    notes = spark.createDataFrame([("d", i) for i in range(7)] + [("e:1", 0)], "deck string, ord bigint")
+    taken = spark.createDataFrame([(x,) for x in ("generated:d:1", "generated:d:3", "generated:d:4", "generated:d:4", "generated:d:04", "generated:d:x", "generated:e:1:2", "generated:d:400", "own", None)], "stable_id string")
+    got = {(r.deck, r.ord): r.id for r in identity.generated_ids(notes, taken).collect()}
+    assert [got["d", i] for i in range(7)] == [f"generated:d:{n}" for n in (2, 5, 6, 7, 8, 9, 10)] and got["e:1", 0] == "generated:e:1:1"
 
 
 def test_missing_reference_and_unused_binding(spark):
