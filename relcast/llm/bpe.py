@@ -24,7 +24,7 @@ from .common import per_text
 
 LONG = 96
 #: A worker keeps the tokens of so many words and pieces and then starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: A space at an end of the text or beside other white space (as Python has it, which includes all that the pattern has).
 ODD_SPACE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -144,6 +144,10 @@ class Codec:
                 out[part[w]] = flat[4 * offsets[row] : 4 * offsets[row + 1]]
         return out
 
+    def forget(self) -> None:
+        """Start anew with no words; a task that ends leaves none behind."""
+        self.words, self.pieces, self.plain = {}, {}, {}
+
     def split(self, piece: str) -> list[str]:
         """The pattern's matches in a piece with a space before it; plain words need no pattern."""
         if piece.isalpha():
@@ -167,7 +171,7 @@ class Codec:
         spaces and equal pieces are looked up. A text with other white space beside a space is split whole.
         """
         if len(self.words) + len(self.pieces) > KEPT_WORDS:
-            self.words, self.pieces, self.plain = {}, {}, {}
+            self.forget()
         cuts = [None if ODD_SPACE.search(text) else text.split(" ") for text in batch]
         whole = [self.pattern.findall(text if pieces is None else pieces[0]) for text, pieces in zip(batch, cuts, strict=True)]
         new = {p: self.split(p) for p in set().union(*(pieces[1:] for pieces in cuts if pieces)).difference(self.pieces)}
@@ -232,6 +236,7 @@ def _coder(path: str, pattern: str, ids: bool) -> Callable[[], Callable[[list],
             out = {"n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string())}
             return out | ({"ids": pa.array(coded, pa.binary())} if ids else {})
 
+        work.close = own.forget
         return work
 
     return make

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, per_text, texts
+from .common import batches, give_back, per_text, texts
 from .rules import FEATURES, RULES, byte_classes, measure
 
 STRIP = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -144,6 +144,8 @@ def fit_classifier(docs: DataFrame, rated: DataFrame, levels: int = 3, params: C
         features = Features(params)
         for batch in batches(frames, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([features(t).tobytes() for t in texts(batch, "text")], pa.binary())], ["id", "grade", "places"])
+        del features
+        give_back()
 
     made = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, grade int, places binary")
     rows = made.groupBy("id").agg(F.min(F.struct("grade", "places")).alias("row")).select("id", "row.*").collect()
@@ -192,5 +194,7 @@ def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text
         grades = _probabilities(model)
         for batch in batches(frames, at):
             yield batch.filter(pa.array(grades(texts(batch, at))[1] >= model.params.select_at))
+        del grades
+        give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

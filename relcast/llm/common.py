@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -71,10 +73,18 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return the memory that a worker has freed: it serves other tasks later, beside those of other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], rows: int = 512, size: int = 1 << 20) -> DataFrame:
     """Columns ``keep`` of ``df`` and what ``make()(texts)`` gives for its texts; one pass over the rows, no exchange.
 
-    ``fields`` is the DDL of the added columns; ``make`` runs once in each task.
+    ``fields`` is the DDL of the added columns; ``make`` runs once in each task, and what it returns may have a ``close``.
     """
     wanted = df.select(*[F.col(name) for name in keep], F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1]), fields])
@@ -84,6 +94,10 @@ def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Calla
         for batch in batches(frames, "__text", rows, size):
             made = work(texts(batch, "__text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), *made.values()], [*keep, *made])
+        if close := getattr(work, "close", None):
+            close()
+        del work
+        give_back()
 
     return wanted.mapInArrow(run, schema)
 

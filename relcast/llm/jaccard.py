@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, batches, cut, per_text, texts
+from .common import WORD, batches, cut, give_back, per_text, texts
 from .components import Forest, components
 from .signature_tree import TreeJoin
 
@@ -252,6 +252,8 @@ def part_rows(docs: DataFrame, params: JaccardParams, common: np.ndarray | None
             made = thinned(*keys_of(shingle_sets(texts(batch, "text"), params.shingle, powers), batch.column("id").to_numpy()))
             for k in range(0, len(made[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].view(np.int64)) for x in made], ["key", "parity", "n", "id"])
+        del powers, keys_of
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "key bigint, parity bigint, n bigint, id bigint")
 
@@ -343,6 +345,8 @@ def candidate_edges(docs: DataFrame, params: JaccardParams) -> DataFrame:
                 held = [x[last[-1] + 1 :] for x in held]
         if held is not None and len(held[0]):
             yield edges(held)
+        del held
+        give_back()
 
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
