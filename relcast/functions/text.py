@@ -128,6 +128,20 @@ def attribute_refs(c: Column, name: str) -> Column:
     return F.transform(found, decode_entities)
 
 
+def legacy_refs(c: Column) -> Column:
+    """References by plain search, as an old reader finds them: sounds, then ``src=``, then ``data=``.
+
+    An attribute may stand anywhere, also outside of tags; a quote that isn't closed ends the search.
+    """
+    found = [F.regexp_extract_all(c, F.lit(r"\[sound:([^\]]*)\]"), F.lit(1))]
+    for name in ("src", "data"):
+        whole = F.regexp_extract_all(c, F.lit(rf"""(?sU){name}=(?:"[^"]*"|'[^']*'|["'].*|(?!["']|\z)[^\s>]*)"""), F.lit(0))
+        values = F.transform(whole, lambda m: F.regexp_replace(m, r"\A[a-z]+=", ""))
+        closed = F.filter(values, lambda v: ~v.rlike(r"""(?s)\A(?:"[^"]*|'[^']*)\z"""))
+        found.append(F.transform(closed, lambda v: F.regexp_replace(v, r"""(?s)\A(["'])(.*)\1\z""", "$2")))
+    return F.transform(F.concat(*found), decode_entities)
+
+
 def css_urls(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"""(?i)url\(\s*["']?([^"')]*?)["']?\s*\)"""), F.lit(1))
 
@@ -145,6 +159,14 @@ def is_safe_filename(c: Column) -> Column:
     return c.rlike(r"\A[A-Za-z0-9._-]+\z") & ~c.isin(".", "..")
 
 
+def artifact_path(reference: Column, prefix: Column) -> Column:
+    """The reference under its root, without the prefix if that is a prefix by whole components; null if it leaves the root."""
+    split = lambda c: F.filter(F.split(c, "/"), lambda p, i: (p != "") & ((p != ".") | (i == 0)))
+    parts, lead = split(reference), split(F.regexp_replace(prefix, "/+$", ""))
+    rest = F.when(F.slice(parts, F.lit(1), F.size(lead)) == lead, F.slice(parts, F.size(lead) + 1, F.size(parts))).otherwise(parts)
+    return F.when(~F.startswith(reference, F.lit("/")) & ~F.array_contains(parts, ".."), F.array_join(F.filter(rest, lambda p: p != "."), "/"))
+
+
 def mime_of_name(c: Column) -> Column:
     """By extension; null if that is unknown."""
     table = F.create_map(*[F.lit(x) for pair in sorted(MIME_BY_EXTENSION.items()) for x in pair])

@@ -14,6 +14,7 @@ from .blake3 import blake3_hex
 REFERENCES = T.ArrayType(T.StructType().add("kind", T.StringType()).add("raw", T.StringType()).add("is_url", T.BooleanType()).add("line", T.IntegerType()))
 ISSUES = T.ArrayType(T.StructType().add("code", T.StringType()).add("severity", T.StringType()).add("message", T.StringType()).add("byte_offset", T.IntegerType()))
 SCAN = T.StructType().add("ords", T.ArrayType(T.LongType())).add("malformed", T.BooleanType())
+SIZE = T.StructType().add("width", T.LongType()).add("height", T.LongType())
 
 
 def _each(values: pd.Series, f) -> pd.Series:
@@ -87,6 +88,25 @@ def renders_text(front: pd.Series, fields: pd.Series, special: pd.Series, declar
     return pd.Series([scanners.renders_text(f, dict(a), dict(s), list(d)) for f, a, s, d in zip(front, fields, special, declared, strict=True)])
 
 
+@F.pandas_udf(SIZE)
+def jpeg_size(contents: pd.Series) -> pd.DataFrame:
+    """Width and height of JPEG images, from the first frame header that their segments lead to; null where there is none."""
+
+    def read(body: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while body is not None and at + 9 <= len(body) and body[at] == 0xFF:
+            marker = body[at + 1]
+            if marker == 0xFF:  # a filling byte
+                at += 1
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(body[at + 7 : at + 9], "big"), int.from_bytes(body[at + 5 : at + 7], "big")
+            else:
+                at += 2 + int.from_bytes(body[at + 2 : at + 4], "big")
+        return None, None
+
+    return pd.DataFrame([read(b) for b in contents], columns=["width", "height"]).astype("Int64")
+
+
 def exact_strip(c: Column) -> Column:
     """Text without ``<`` or ``&`` is plain already."""
     return F.when(c.contains("<") | c.contains("&"), strip_html_exact(c)).otherwise(c)

@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import udfs
+from ..functions.text import mime_of_name
+from .cards import numbered
+
 #: Fixed value: the largest inline medium.
 INLINE_LIMIT = 65_536
 
@@ -82,9 +86,42 @@ def changed_sources(registered: DataFrame, now: DataFrame) -> DataFrame:
     return joined.where(~(F.col("d").eqNullSafe(F.col("digest")) & F.col("s").eqNullSafe(F.col("size")))).select("filename", F.lit("MEDIA.SOURCE_CHANGED").alias("code"))
 
 
-def png_size(content: Column) -> Column:
-    """struct(width, height) of a PNG or GIF, from its header."""
-    head = F.hex(F.substring(content, 1, 24))
-    number = lambda at, n: F.conv(F.substring(head, at, n), 16, 10).cast("bigint")
-    little = lambda at: F.conv(F.concat(F.substring(head, at + 2, 2), F.substring(head, at, 2)), 16, 10).cast("bigint")
-    return F.when(head.startswith("89504E470D0A1A0A"), F.struct(number(33, 8).alias("width"), number(41, 8).alias("height"))).when(head.startswith("47494638"), F.struct(little(13).alias("width"), little(17).alias("height")))
+def raster_size(name: Column, content: Column) -> Column:
+    """struct(width, height) of a PNG, JPEG, GIF or WebP by its name, from its header; null for others and for broken headers.
+
+    Only contents with the sign of a JPEG go to a Python worker, as the place of their frame header varies.
+    """
+    head = F.hex(F.substring(content, 1, 30))
+    digits = lambda at, n: F.substring(head, 2 * at + 1, 2 * n)
+    big = lambda at, n: F.conv(digits(at, n), 16, 10).cast("bigint")
+    little = lambda at, n: F.conv(F.concat(*[digits(at + i, 1) for i in reversed(range(n))]), 16, 10).cast("bigint")
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    webp = head.startswith("52494646") & (digits(8, 4) == "57454250")
+    packed = little(21, 4)
+    is_jpeg = head.startswith("FFD8FF")
+    jpeg = udfs.jpeg_size(F.when(is_jpeg, content))
+    found = (
+        F.when(head.startswith("89504E470D0A1A0A") & (F.length(head) >= 48), size(big(16, 4), big(20, 4)))
+        .when(head.startswith("47494638") & (F.length(head) >= 20), size(little(6, 2), little(8, 2)))
+        .when(webp & (F.length(head) == 60) & (digits(12, 4) == "56503820") & (digits(23, 3) == "9D012A"), size(little(26, 2).bitwiseAND(0x3FFF), little(28, 2).bitwiseAND(0x3FFF)))
+        .when(webp & (F.length(head) >= 50) & (digits(12, 4) == "5650384C") & (digits(20, 1) == "2F"), size(packed.bitwiseAND(0x3FFF) + 1, F.shiftright(packed, 14).bitwiseAND(0x3FFF) + 1))
+        .when(webp & (F.length(head) == 60) & (digits(12, 4) == "56503858"), size(little(24, 3) + 1, little(27, 3) + 1))
+        .when(is_jpeg & jpeg["width"].isNotNull(), jpeg)
+    )
+    return F.when(mime_of_name(name).isin("image/png", "image/jpeg", "image/gif", "image/webp"), found)
+
+
+#: The order of references in a document.
+REFERENCE_ORDER = ("owner_kind", "owner_id", "location_kind", "location_name", "raw_ref", "ref_kind", "resolution_status", "media_id", "skip_reason")
+
+
+def ordered_references(resolved: DataFrame) -> DataFrame:
+    """References with ``place``, from 1, in the order of a document; null counts as empty."""
+    keys = [F.coalesce(c, F.lit("")).alias(f"__{c}") for c in REFERENCE_ORDER]
+    names = [f"__{c}" for c in REFERENCE_ORDER]
+    return numbered(resolved.select("*", *keys), names, "place").drop(*names)
+
+
+def ordered_bindings(bindings: DataFrame) -> DataFrame:
+    """Bindings with ``place``, from 1, by name and id."""
+    return numbered(bindings, ["export_filename", "id"], "place")

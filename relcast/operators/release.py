@@ -184,6 +184,34 @@ def note_identity(notes: DataFrame, assigned: DataFrame) -> DataFrame:
     return joined.select("note_id", F.coalesce("s", "note_id").alias("stable_id"), F.coalesce("selected_guid", "note_id").alias("guid"), F.coalesce("src", F.lit("current_derivation")).alias("guid_source"))
 
 
+def limitations(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, limitations): what limits each baseline, sorted and without repeats."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_set(name)).alias("limitations"))
+
+
+def effective_mode(mode: Column, lockfile: Column, compare_to: Column, writes_lockfile: Column) -> Column:
+    """struct(mode, code): the mode that build options ask for; writing a lockfile needs its path.
+
+    A mode that isn't given (null) is strict if there is a lockfile or a release to compare to, or else disabled.
+    """
+    refused = F.coalesce(writes_lockfile, F.lit(False)) & lockfile.isNull()
+    chosen = F.coalesce(mode, F.when(lockfile.isNotNull() | compare_to.isNotNull(), "strict").otherwise("disabled"))
+    return F.struct(F.when(~refused, chosen).alias("mode"), F.when(refused, "UPDATE.LOCKFILE_PATH_REQUIRED").alias("code"))
+
+
+def missing_project_id(lockfile_required: Column) -> Column:
+    """struct(limitation, code, severity) of a release whose project has no stable id."""
+    severity = F.when(lockfile_required, "error").otherwise("warning")
+    return F.struct(F.lit("project_stable_id_missing").alias("limitation"), F.lit("UPDATE.PROJECT_STABLE_ID_MISSING").alias("code"), severity.alias("severity"))
+
+
+def inspected_source(staging: Column, staging_there: Column, package: Column, package_there: Column) -> Column:
+    """struct(kind, ref): what of a build result is inspected: what is there, staging first; else what is named; null if nothing is."""
+    out = lambda kind, ref: F.struct(F.lit(kind).alias("kind"), ref.alias("ref"))
+    named = F.when(staging.isNotNull(), out("staging", staging)).when(package.isNotNull(), out("package", package))
+    return F.when(staging.isNotNull() & staging_there, out("staging", staging)).when(package.isNotNull() & package_there, out("package", package)).otherwise(named)
+
+
 # --- merge safety ---------------------------------------------------------------------------------------------------------
 
 

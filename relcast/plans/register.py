@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import udfs
-from ..operators import cards, identity, media, normalize, observe, release, risk, selectors, validate
+from ..operators import cards, collection, identity, media, normalize, observe, release, risk, selectors, validate
 from ..sources import store
 from . import frames
 from .frames import table
@@ -196,11 +196,11 @@ def merge_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT type_id, 'field,0,front;template,0,card' || CASE WHEN k % 8 = 0 THEN ';template,1,extra' ELSE '' END AS parts FROM (SELECT type_id, k FROM types WHERE c AND k % 11 <> 0 AND k % 10 <> 0)""",
+    """SELECT type_id, 'field,' || CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END || ',front;template,' || CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END || ',card' || CASE WHEN k % 8 = 0 THEN ';template,1,extra' ELSE '' END AS parts FROM types WHERE c""",
     ("types",),
 )
 def parts_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = frames.type_parts(table(spark, sf_dir, "part").where("p_partkey % 11 <> 0 AND p_partkey % 10 <> 0"), True).select("type_id", F.inline("parts"))
+    opened = frames.type_parts(table(spark, sf_dir, "part"), True).select("type_id", F.inline("parts"))
     return release.regrouped(opened).select("type_id", F.array_join(F.transform("parts", lambda p: F.concat_ws(",", p["kind"], p["ord"].cast("string"), p["key"])), ";").alias("parts"))
 
 
@@ -509,10 +509,10 @@ def media_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("s.mime").alias("sniffed"), F.col("s.high").alias("high"), tx.effective_mime(F.col("declared"), F.col("s"), F.col("name")).alias("mime"))
 
 
-@query("SELECT doc_id, strlen(text)::BIGINT AS size FROM documents WHERE strlen(text) <= 3000")
+@query("SELECT doc_id, strlen(text)::BIGINT AS size FROM documents WHERE (strlen(text) + 2) // 3 * 3 <= 65536")
 def inline_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", media.inline_bytes(F.base64(F.encode("text", "utf-8")), 3000 + 2).alias("b"))
-    return rows.where("b IS NOT NULL AND octet_length(b) <= 3000").select("doc_id", F.octet_length("b").cast("bigint").alias("size"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", media.inline_bytes(F.base64(F.encode("text", "utf-8"))).alias("b"))
+    return rows.where("b IS NOT NULL").select("doc_id", F.octet_length("b").cast("bigint").alias("size"))
 
 
 @query("SELECT p_partkey, p_partkey % 4 = 0 AS safe, p_partkey % 3 = 0 AS inside FROM part")
@@ -521,6 +521,51 @@ def path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.is_safe_filename(F.when(key % 4 == 0, F.concat(F.lit("a-"), key, F.lit(".png"))).when(key % 4 == 1, "..").otherwise("a b/c")).alias("safe"), media.is_inside(F.when(key % 3 == 0, "a/b").when(key % 3 == 1, "a/../b").otherwise("/a")).alias("inside"))
 
 
+@query("SELECT owner_kind, owner_id, ref_kind, raw_ref, row_number() OVER (ORDER BY owner_kind, owner_id, raw_ref, ref_kind, resolution_status) AS place FROM (SELECT 'note' AS owner_kind, * FROM resolved)", ("refs", "bound", "resolved"))
+def references_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    spot = frames.references(part).select(F.lit("note").alias("owner_kind"), "*", F.lit("field").alias("location_kind"), F.lit("Name").alias("location_name"))
+    return media.ordered_references(normalize.resolve_references(spot, frames.bindings(part))).select("owner_kind", "owner_id", "ref_kind", "raw_ref", "place")
+
+
+@query("SELECT export_filename, id, row_number() OVER (ORDER BY export_filename, id) AS place FROM bound", ("bound",))
+def bindings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.ordered_bindings(frames.bindings(table(spark, sf_dir, "part"))).select("export_filename", "id", "place")
+
+
+@query("SELECT owner_id, array_to_string(list(raw_ref ORDER BY ref_kind DESC), '|') AS refs FROM refs GROUP BY owner_id", ("refs",))
+def legacy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.reference_text(table(spark, sf_dir, "part"))
+    return rows.select(F.col("id").alias("owner_id"), F.array_join(tx.legacy_refs(F.col("text")), "|").alias("refs"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/p' || page_id WHEN 1 THEN 'outer/a' WHEN 2 THEN '' END AS path FROM pages")
+def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    reference = F.when(key % 4 == 0, F.concat(F.lit("out/a//p"), key)).when(key % 4 == 1, "outer/./a").when(key % 4 == 2, "out/").otherwise("out/../a")
+    return table(spark, sf_dir, "pages").select("page_id", tx.artifact_path(reference, F.lit("out/")).alias("path"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS limitations FROM events GROUP BY user_id")
+def baseline_limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.limitations(table(spark, sf_dir, "events"), "user_id", "event_type").withColumn("limitations", joined("limitations"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'report_only' WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'strict' ELSE 'disabled' END AS mode,
+    CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 'UPDATE.LOCKFILE_PATH_REQUIRED' END AS code, CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'warning' END AS severity,
+    CASE WHEN p_partkey % 5 = 0 THEN 'staging' WHEN p_partkey % 2 = 0 THEN 'package' WHEN p_partkey % 3 = 0 THEN 'staging' ELSE 'package' END AS inspected FROM part"""
+)
+def build_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options and results of a build for each part."""
+    key = F.col("p_partkey")
+    path = lambda n: F.when(key % n == 0, F.concat(F.lit("path"), key))
+    chosen = release.effective_mode(F.when(key % 5 == 0, "report_only"), path(3), path(7), key % 2 == 0)
+    staging = F.when((key % 5 == 0) | (key % 3 == 0), "staging")
+    source = release.inspected_source(staging, key % 5 == 0, F.lit("package"), key % 2 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", chosen["mode"].alias("mode"), chosen["code"].alias("code"), release.missing_project_id(key % 3 == 0)["severity"].alias("severity"), source["kind"].alias("inspected"))
+
+
 # --- text and identity ---------------------------------------------------------------------------------------------------
 
 CTES["stripped"] = r"""SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*)>', '', 'g'), '(?s)<[^>]*>', '', 'g'),
@@ -579,13 +624,13 @@ def cloze_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'ZERO_SIZE' WHEN p_size + 10 > 40 THEN 'OUT_OF_BOUNDS' END AS issue,
-    '{"algo_version":1,"components":{"image_anchor":"' || sha1(p_name) || '","image_height_px":40,"image_width_px":40,"occlusion_mode":"hide_all_guess_one","shapes":[{"h_px":5,"shape":"rect","w_px":10,"x_px":1,"y_px":2},{"h_px":5,"shape":"rect","w_px":' || CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 10 END || ',"x_px":' || (p_size + 1 - 1 + 0) || ',"y_px":2}]},"notetype_family":"stock","notetype_key":"image_occlusion","recipe_id":"io.core.v2"}' AS payload FROM part WHERE p_size > 1"""
+    """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'ZERO_SIZE' WHEN p_size + 11 > 40 THEN 'OUT_OF_BOUNDS' END AS issue,
+    '{"algo_version":1,"components":{"image_anchor":"' || sha1(p_name) || '","image_height_px":40,"image_width_px":40,"occlusion_mode":"hide_all_guess_one","shapes":[{"h_px":5,"shape":"rect","w_px":10,"x_px":1,"y_px":2},{"h_px":5,"shape":"rect","w_px":' || CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 10 END || ',"x_px":' || (p_size + 1) || ',"y_px":2}]},"notetype_family":"stock","notetype_key":"image_occlusion","recipe_id":"io.core.v2"}' AS payload FROM part"""
 )
 def mask_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rect = lambda x, w: F.struct(x.cast("bigint").alias("x"), F.lit(2).cast("bigint").alias("y"), w.cast("bigint").alias("width"), F.lit(5).cast("bigint").alias("height"))
     width = F.when(F.col("p_partkey") % 6 == 0, 0).otherwise(10)
-    rows = table(spark, sf_dir, "part").where("p_size > 1").withColumn("shapes", F.array(rect(F.col("p_size"), width), rect(F.lit(1), F.lit(10))))
+    rows = table(spark, sf_dir, "part").withColumn("shapes", F.array(rect(F.col("p_size") + 1, width), rect(F.lit(1), F.lit(10))))
     return rows.select("p_partkey", identity.mask_issue(F.lit(40), F.lit(40), F.col("shapes")).alias("issue"), identity.mask_payload(F.sha1("p_name"), F.lit(40).cast("string"), F.lit(40).cast("string"), F.lit("hide_all_guess_one"), F.col("shapes")).alias("payload"))
 
 
@@ -720,6 +765,45 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.card_decks(placed, decks).select("card_id", "note_id", "card_ord", "deck_id")
 
 
+def collected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A note of each part: even ones of a plain type, odd ones of a type whose order of fields is turned round."""
+    key, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    notes = part.select(
+        F.concat(F.lit("part:"), key).alias("id"), key.alias("ord"), F.when(key % 2 == 0, "plain").otherwise("turned").alias("notetype_id"), F.concat(F.lit("deck"), key % 3).alias("deck_name"),
+        F.create_map(F.lit("Front"), "p_name", F.lit("Back"), "p_brand").alias("fields"), F.array("p_type", "p_brand").alias("tags"), F.when(key % 5 == 0, key).alias("mtime_secs"),
+    )
+    types = spark.createDataFrame(
+        [
+            ("plain", 0, "Plain", "normal", [("Front", None, None), ("Back", None, None)], [("Card 1", None, "{{Front}}", "any", ["Front"], None)]),
+            ("turned", 1, "Turned", "normal", [("Front", 1, None), ("Back", 0, True)], [("Card 1", 0, "{{Front}}", "all", ["Front"], None), ("Card 2", 1, "{{Back}}", "any", ["Back"], "Target")]),
+        ],
+        "id string, ord int, name string, kind string, fields array<struct<name string, ord int, sort boolean>>, templates array<struct<name string, ord int, question_format string, rule_kind string, rule_fields array<string>, target_deck_name string>>",
+    )
+    guids = notes.where("ord % 3 = 0").select(F.col("id").alias("normalized_note_id"), F.concat(F.lit("guid-"), "ord").alias("selected_guid"))
+    return collection.collection_tables(notes, types, guids)
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY p_partkey) AS id, CASE WHEN p_partkey % 3 = 0 THEN 'guid-' || p_partkey ELSE 'part:' || p_partkey END AS guid, 1::BIGINT + p_partkey % 2 AS mid, CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE 1 END::BIGINT AS mod, p_type || ' ' || p_brand AS tags,
+    CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(31) || p_brand ELSE p_brand || chr(31) || p_name END AS flds, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS sfld, ('0x' || substr(sha1(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END), 1, 8))::BIGINT AS csum FROM part"""
+)
+def collection_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collected(spark, sf_dir)["notes"]
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY nid, ord) AS id, nid, CASE ord WHEN 1 THEN 2 ELSE 3 + k % 3 END::BIGINT AS did, ord, nid AS due
+    FROM (SELECT k, nid, unnest(CASE WHEN k % 2 = 0 THEN [0] ELSE [0, 1] END)::BIGINT AS ord FROM (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS nid FROM part))"""
+)
+def collection_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collected(spark, sf_dir)["cards"]
+
+
+@query("SELECT DISTINCT tag FROM (SELECT p_type AS tag FROM part UNION ALL SELECT p_brand FROM part)")
+def collection_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collected(spark, sf_dir)["tags"]
+
+
 @query("SELECT count(*) AS notetype_count, 4::BIGINT + count(*) - 1 AS template_count, 3::BIGINT AS field_count, (SELECT count(*) FROM part) AS note_count, (SELECT count(*) FROM planned) AS card_count, (SELECT count(*) FROM media) AS media_count FROM (VALUES (1), (2))", ("cloze", "planned", "media"))
 def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.counts(card_types(spark), table(spark, sf_dir, "part"), planned(spark, sf_dir), frames.media(table(spark, sf_dir, "documents")))

@@ -81,8 +81,17 @@ def read_lockfile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lockfile(entries: DataFrame, path: str) -> None:
-    """Entries in order of stable id, as JSON lines; range partitions keep the order without one task for all."""
-    entries.repartitionByRange("stable_id").sortWithinPartitions("stable_id").write.mode("overwrite").json(path)
+    """Entries in order of stable id, as JSON lines; range partitions keep the order without one task for all.
+
+    They are written beside the old lockfile and take its name when they are whole, so that a failed job leaves the old one.
+    """
+    made, spark = f"{path}.next", entries.sparkSession
+    entries.repartitionByRange("stable_id").sortWithinPartitions("stable_id").write.mode("overwrite").json(made)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(place(path), True)
+    if not files.rename(place(made), place(path)):
+        raise OSError(f"the lockfile stays under {made}")
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -91,6 +100,11 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports as JSON lines, a row each, with the columns in their order; null values are left out."""
+    reports.write.mode("overwrite").json(path)
+
+
 def product_notes(documents: DataFrame) -> DataFrame:
     """Notes of product documents (raw JSON in ``body``), of known and unknown kinds."""
     parsed = documents.select("document_id", F.posexplode(F.expr("variant_get(parse_json(body), '$.notes', 'array<variant>')")).alias("ord", "v"))

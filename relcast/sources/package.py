@@ -36,7 +36,10 @@ def unpacked(body: bytes) -> bytes:
     if body[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except zstandard.ZstdError as e:
+            raise ValueError(str(e)) from e
     return body
 
 
@@ -95,16 +98,25 @@ def inspect_packages(files: DataFrame) -> DataFrame:
 
 
 def collection_tables(files: DataFrame, sql: str, schema: str) -> DataFrame:
-    """Rows of a query on each package's collection, with the package's path first."""
+    """Rows of a query on each package's collection, with the package's path first.
+
+    A package that can't be read, or has no collection, gives no rows; ``inspect_packages`` tells its issue.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                name = next(n for n in COLLECTIONS if n in archive.namelist())
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    name = next((n for n in COLLECTIONS if n in archive.namelist()), None)
+                    body = None if name is None else unpacked(archive.read(name))
+                except (zipfile.BadZipFile, ValueError):
+                    body = None
+                if body is None or not body.startswith(b"SQLite format 3\0"):
+                    continue
                 db = sqlite3.connect(":memory:")
                 db.create_collation("unicase", lambda a, b: (a.lower() > b.lower()) - (a.lower() < b.lower()))
-                db.deserialize(unpacked(archive.read(name)))
+                db.deserialize(body)
                 rows = pd.read_sql_query(sql, db)
                 rows.insert(0, "path", path)
                 yield rows
