@@ -12,10 +12,46 @@ from ..functions.text import classified
 
 #: The stock record types.
 CLOZE_CSS = ".cloze {\n    font-weight: bold;\n    color: blue;\n}\n.nightMode .cloze {\n    color: lightblue;\n}\n"
+OCCLUSION_FRONT = """{{#Header}}<div>{{Header}}</div>{{/Header}}
+<div style="display: none">{{cloze:Occlusion}}</div>
+<div id="err"></div>
+<div id="image-occlusion-container">
+    {{Image}}
+    <canvas id="image-occlusion-canvas"></canvas>
+</div>
+<script>
+try {
+    anki.imageOcclusion.setup();
+} catch (exc) {
+    document.getElementById("err").innerHTML = `Error loading image occlusion<br><br>${exc}`;
+}
+</script>
+"""
+OCCLUSION_BACK = f"""{OCCLUSION_FRONT}
+<div><button id="toggle">Toggle Masks</button></div>
+{{{{#Back Extra}}}}<div>{{{{Back Extra}}}}</div>{{{{/Back Extra}}}}
+"""
+OCCLUSION_CSS = """#image-occlusion-canvas {
+    --inactive-shape-color: #ffeba2;
+    --active-shape-color: #ff8e8e;
+    --inactive-shape-border: 1px #212121;
+    --active-shape-border: 1px #212121;
+    --highlight-shape-color: #ff8e8e00;
+    --highlight-shape-border: 1px #ff8e8e;
+}
+
+.card {
+    font-family: arial;
+    font-size: 20px;
+    text-align: center;
+    color: black;
+    background-color: white;
+}
+"""
 STOCK = (
     ("basic", "normal", "Basic", ["Front", "Back"], [("Card 1", "{{Front}}", "{{FrontSide}}\n\n<hr id=answer>\n\n{{Back}}")], ""),
     ("cloze", "cloze", "Cloze", ["Text", "Back Extra"], [("Cloze", "{{cloze:Text}}", "{{cloze:Text}}<br>\n{{Back Extra}}")], CLOZE_CSS),
-    ("image_occlusion", "cloze", "Image Occlusion", ["Occlusion", "Image", "Header", "Back Extra", "Comments"], [("Image Occlusion", None, None)], None),
+    ("image_occlusion", "cloze", "Image Occlusion", ["Occlusion", "Image", "Header", "Back Extra", "Comments"], [("Image Occlusion", OCCLUSION_FRONT, OCCLUSION_BACK)], OCCLUSION_CSS),
 )
 NOTETYPE_FIELDS = "array<struct<name string, ord int>>"
 NOTETYPE_TEMPLATES = "array<struct<name string, ord int, question_format string, answer_format string>>"

@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from relcast.functions import text as tx
-from relcast.operators import media, release
+from relcast.operators import media, normalize, release
 from relcast.plans import register
 from relcast.sources import entities, package
 
@@ -108,3 +108,12 @@ def test_broken_packages_give_no_rows(spark):
         archive.writestr("media", b"{}")
     files = spark.createDataFrame([("a", b"no archive"), ("b", empty.getvalue()), ("c", none.getvalue())], "path string, content binary")
     assert package.collection_tables(files, "SELECT id FROM notes", "id bigint").count() == 0
+
+
+def test_stock_image_occlusion(spark):
+    schema = f"id string, kind string, name string, fields {normalize.NOTETYPE_FIELDS}, templates {normalize.NOTETYPE_TEMPLATES}"
+    row = normalize.expand_stock(spark.createDataFrame([("io", "image_occlusion", None, None, None)], schema), normalize.stock_catalog(spark)).first()
+    assert (row.kind, row.name, row.issue, [f.name for f in row.fields]) == ("cloze", "Image Occlusion", None, ["Occlusion", "Image", "Header", "Back Extra", "Comments"])
+    front, back = row.templates[0].question_format, row.templates[0].answer_format
+    assert front.endswith("</script>\n") and back.startswith(front) and back.endswith("{{#Back Extra}}<div>{{Back Extra}}</div>{{/Back Extra}}\n")
+    assert row.css.startswith("#image-occlusion-canvas {\n") and row.css.endswith("    background-color: white;\n}\n")
