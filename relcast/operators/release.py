@@ -184,6 +184,31 @@ def note_identity(notes: DataFrame, assigned: DataFrame) -> DataFrame:
     return joined.select("note_id", F.coalesce("s", "note_id").alias("stable_id"), F.coalesce("selected_guid", "note_id").alias("guid"), F.coalesce("src", F.lit("current_derivation")).alias("guid_source"))
 
 
+def embedded_identities(metadata: DataFrame) -> DataFrame:
+    """Identities in the note data of an earlier package: ``metadata`` has source_path and payload (JSON).
+
+    Rows of another schema are left out. One without a stable id gives no identity but a limitation, as does an unknown
+    provenance; other values that are missing have defaults.
+    """
+    get = lambda name, default=None: F.coalesce(F.get_json_object("payload", f"$.{name}"), F.lit(default) if isinstance(default, str) or default is None else default)
+    rows = metadata.where(get("schema_version") == "identity-note-v1").withColumn("stable_id", get("stable_id"))
+    lost = F.col("stable_id").isNull()
+    provenance = get("provenance", "unknown_baseline")
+    limit = F.when(lost, "identity_metadata_malformed").when(provenance == "unknown_baseline", "unknown_baseline_provenance")
+    return rows.select(
+        "source_path",
+        "stable_id",
+        get("selected_anki_guid", F.col("stable_id")).alias("guid"),
+        get("current_guid_candidate", F.col("stable_id")).alias("candidate"),
+        get("guid_derivation_version", "guid.raw-stable-id.v1").alias("derivation"),
+        get("recipe_id", "unknown").alias("recipe_id"),
+        get("canonical_payload_hash").alias("payload_hash"),
+        provenance.alias("provenance"),
+        F.coalesce(get("used_override") == "true", F.lit(False)).alias("used_override"),
+        limit.alias("limitation"),
+    )
+
+
 def limitations(rows: DataFrame, by: str, name: str) -> DataFrame:
     """(by, limitations): what limits each baseline, sorted and without repeats."""
     return rows.groupBy(by).agg(F.array_sort(F.collect_set(name)).alias("limitations"))

@@ -117,3 +117,25 @@ def test_stock_image_occlusion(spark):
     front, back = row.templates[0].question_format, row.templates[0].answer_format
     assert front.endswith("</script>\n") and back.startswith(front) and back.endswith("{{#Back Extra}}<div>{{Back Extra}}</div>{{/Back Extra}}\n")
     assert row.css.startswith("#image-occlusion-canvas {\n") and row.css.endswith("    background-color: white;\n}\n")
+
+
+def test_embedded_identities_and_reports(spark, tmp_path):
+    texts = [
+        '{"schema_version":"identity-note-v1","stable_id":"a","selected_anki_guid":"g","provenance":"explicit","used_override":true}',
+        '{"schema_version":"identity-note-v1","stable_id":"b"}',
+        '{"schema_version":"identity-note-v1"}',
+        '{"schema_version":"other","stable_id":"c"}',
+        "no json",
+        None,
+    ]
+    rows = release.embedded_identities(spark.createDataFrame([("p", t) for t in texts], "source_path string, payload string"))
+    got = {r.stable_id: (r.guid, r.candidate, r.recipe_id, r.provenance, r.used_override, r.limitation) for r in rows.collect()}
+    assert got == {
+        "a": ("g", "a", "unknown", "explicit", True, None),
+        "b": ("b", "b", "unknown", "unknown_baseline", False, "unknown_baseline_provenance"),
+        None: (None, None, "unknown", "unknown_baseline", False, "identity_metadata_malformed"),
+    }
+    found = release.limitations(rows, "source_path", "limitation").first()
+    assert found.limitations == ["identity_metadata_malformed", "unknown_baseline_provenance"]
+    entities.write_reports(rows.select("stable_id", "guid"), str(tmp_path / "report"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "report")).collect()) == ['{"stable_id":"a","guid":"g"}', '{"stable_id":"b","guid":"b"}', "{}"]
