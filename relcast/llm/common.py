@@ -102,6 +102,11 @@ def per_text(df: DataFrame, keep: list[str], text: str, fields: str, make: Calla
     return wanted.mapInArrow(run, schema)
 
 
-def beside(df: DataFrame, facts: DataFrame, key: str, how: str = "inner", rows: int = 1_000_000) -> DataFrame:
-    """``df`` joined with a narrow written table: broadcast if that has at most ``rows`` rows, by an exchange beyond."""
-    return df.join(F.broadcast(facts) if facts.count() <= rows else facts, key, how)
+def beside(df: DataFrame, facts: DataFrame, key: str, how: str = "inner", size: int = 64 << 20) -> DataFrame:
+    """``df`` joined with a narrow written table: broadcast if that takes at most about ``size`` bytes, by an exchange beyond.
+
+    The driver holds what is broadcast, some 200 bytes a row and its values.
+    """
+    row = F.lit(200) + F.octet_length(F.to_json(F.struct("*")))
+    small = facts.agg(F.coalesce(F.sum(row), F.lit(0)) <= size).first()[0]
+    return df.join(F.broadcast(facts) if small else facts.hint("merge"), key, how)

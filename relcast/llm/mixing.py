@@ -115,7 +115,8 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str
     width = F.lit(params.block_words)
     inside = placed.where("size > 0").select("sidx", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / width).cast("bigint"), F.floor((F.col("at") + F.col("size") - 1) / width).cast("bigint"))).alias("block"))
     inside = inside.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * width) - F.greatest(F.col("at"), F.col("block") * width))
-    times = draw_slots(sources, params).groupBy("sidx", "block").agg(F.count("*").alias("times"))
+    # few sources become very many blocks, which the planner takes to be as few and would send to the driver, so both sides are shuffled
+    times = draw_slots(sources, params).groupBy("sidx", "block").agg(F.count("*").alias("times")).hint("merge")
     took = inside.join(times, ["sidx", "block"]).groupBy("sidx", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # a source's non-empty documents have places of their own, so (sidx, at) names one row; empty ones take nothing
     full = placed.where("size > 0").join(took, ["sidx", "at"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))

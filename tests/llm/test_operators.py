@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from relcast.llm import bpe, classifier, jaccard, language, mixing, queries, revisits, rules, secrets, url_filter, vector_search
+from relcast.llm import bpe, classifier, common, jaccard, language, mixing, queries, revisits, rules, secrets, url_filter, vector_search
 from relcast.llm.components import components
 from relcast.llm.signature_tree import TreeJoin
 from tests import twins
@@ -363,6 +363,33 @@ def test_taken_by_brute_force(spark):
     assert sorted((r.doc_id, r["size"], r.taken) for r in got.collect()) == sorted(map(tuple, want))
 
 
+def test_drawn_blocks_stay_off_the_driver(spark, tmp_path):
+    """One source becomes 20,000 blocks, which the planner takes for a row: both sides of their join are shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        docs(spark, [(i, "w " * 3200, "en", "a") for i in range(400)]).write.parquet(str(tmp_path / "docs"))
+        got = mixing.mix_documents(spark.read.parquet(str(tmp_path / "docs")))
+        assert [r.taken for r in got.select("taken").distinct().collect()] == [3200]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"SortMergeJoin \[sidx#\d+L?, block#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[sidx#\d+L?, block#\d+L?\]", plan)
+
+
+def test_beside_by_size(spark):
+    """Few rows are broadcast only if they are small, and null parts of a key meet by either way."""
+    parts = F.struct(F.when(F.col("n") % 3 > 0, F.col("n") % 3).alias("a"), F.when(F.col("n") % 2 > 0, "b").alias("b"))
+    left = spark.range(60).toDF("n").withColumn("key", parts)
+    facts = spark.range(6).toDF("n").select(parts.alias("key"), F.col("n").alias("fact"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small, large = common.beside(left, facts, "key"), common.beside(left, facts, "key", size=1000)
+    assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" in plan(large)
+    assert sorted((r.n, r.fact) for r in small.collect()) == sorted((r.n, r.fact) for r in large.collect()) == [(n, n % 6) for n in range(60)]
+    wide = spark.range(700).select(F.concat(F.repeat(F.lit("k"), F.lit(100_000)), "id").alias("key"))
+    assert "BroadcastHashJoin" not in plan(common.beside(wide, wide, "key"))
+
+
 def test_mix_edge_cases(spark, odd, none):
     assert mixing.mix_documents(odd).count() == len(ODD) and mixing.mix_documents(none).count() == 0
     assert [tuple(r) for r in mixing.mix_documents(docs(spark, [(1, None, "en", "a")])).collect()] == [(1, 0, 0, 0.0, 0)]
