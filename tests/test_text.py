@@ -10,6 +10,8 @@ from relcast.functions import scanners
 from relcast.functions import text as tx
 from relcast.functions.blake3 import blake3_hex
 from relcast.operators import identity, selectors
+from relcast.plans import register
+from tests import twins
 
 #: Own probes of the rules: entities, tags, comments, raw text, quoted signs, media and where their name is looked for.
 STRIPPED = [
@@ -36,6 +38,28 @@ def test_strip_html(html, plain):
     assert scanners.strip_html(html) == plain
 
 
+#: Entities are closed by a semicolon; what isn't one stays as it is written.
+ENTITIES = [
+    ("<title>a&amp;&amp</title><p>Tea", "a&&ampTea"),
+    ("&amp&amp;&quot &copy2 &notin &notin;", "&amp&&quot &copy2 &notin ∉"),
+    ("&amp;amp; &amp;&#35;38; &&lt;", "&amp; &#38; &<"),
+    ("&nosuch; &; &#; &#x; &#xD800; &#1114112; &#65 &#" + "9" * 5000 + ";", "&nosuch; &; &#; &#x; &#xD800; &#1114112; &#65 &#" + "9" * 5000 + ";"),
+    ("&#" + "0" * 5000 + "65; &#x42; &#X43; &#128;", "A B C \x80"),
+]
+
+
+@pytest.mark.parametrize(("html", "plain"), ENTITIES)
+def test_entities_are_closed(html, plain):
+    assert scanners.strip_html(html) == plain
+
+
+def test_strip_queries_equal_their_twins_on_cut_entities(spark, tmp_path):
+    pages = [(1, "<head><title>a&amp;&amp</title></head><body>Tea &quot;x&quot</body>"), (2, "&copy<b>x</b>&middot<i>y</i>&amp;quot;"), (3, None)]
+    spark.createDataFrame(pages, "page_id bigint, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("html_strip", "html_strip_exact"):
+        assert twins.rows_of(register.QUERIES[name](spark, str(tmp_path))) == twins.twin_rows(twins.connect(str(tmp_path)), register.ORACLE_SQL[name])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_strip_html_takes_any_text(html):
